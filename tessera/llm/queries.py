@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.llm.history import replay_batches
 from tessera.llm.leakage import find_leaks, leak_report
 from tessera.llm.normalise import lookalike_records, normalised_fields
 from tessera.llm.spans import shared_spans
@@ -24,6 +25,14 @@ def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised_fields(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "cells"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_batches(read_table(spark, sf_dir, "uploads"), read_table(spark, sf_dir, "chunks")).rejections()
+
+
+def p3_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_batches(read_table(spark, sf_dir, "uploads"), read_table(spark, sf_dir, "chunks")).accepted()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_chunks(read_table(spark, sf_dir, "chunks")).filter("piece_no = 1").select("chunk_id")
 
@@ -53,7 +62,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p2_found, p2_normalised, p5_found, p5_pieces, p7_ids, p8_found, p8_report, p9_found, p9_coverage)
+    found = (p2_found, p2_normalised, p3_found, p3_accepted, p5_found, p5_pieces, p7_ids, p8_found, p8_report, p9_found, p9_coverage)
     return {f.__name__: f for f in found}
 
 
