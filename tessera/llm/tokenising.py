@@ -8,8 +8,10 @@ spread over several tokens, and decoding reverses the byte table.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,12 @@ from pyspark.sql import DataFrame
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Rows encoded at a time: bounds what a task holds besides its Arrow batch.
 ROWS_AT_ONCE = 256
+#: Pieces of text a process remembers the ids of, and their longest length.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+#: Where a text can be cut without changing its ids: between a character that
+#: isn't white space and a space or line feed. No piece the tokenizer's own
+#: splitting makes crosses such a place, and it never looks back.
+_CUTS = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 @lru_cache(maxsize=4)
@@ -38,6 +46,33 @@ def _batches(column: pa.Array, size: int) -> Iterator[list[str]]:
         yield [t or "" for t in column.slice(at, size).to_pylist()]
 
 
+class Encoder:
+    """The library's encoding, with the ids of common pieces remembered."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        pieces = [_CUTS.split(t) for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        missing = list(set(chain.from_iterable(pieces)).difference(known))
+        fresh = {p: e.ids for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False))}
+        known.update(fresh)
+        out = [list(chain.from_iterable(map(known.__getitem__, own))) for own in pieces]
+        for p in missing:
+            if len(p) > REMEMBERED_CHARS:
+                del known[p]
+        return out
+
+
+@lru_cache(maxsize=4)
+def load_encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> Encoder:
+    return Encoder(load_tokenizer(name, folder))
+
+
 def encode_corpus(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``documents``: its id and ``ids``, without special
     tokens. Empty and null texts have an empty list, never null; a null id
@@ -46,14 +81,14 @@ def encode_corpus(documents: DataFrame, name: str = "byte_bpe_50k", folder: str
     id_type = rows.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(name, folder)
+        encode = load_encoder(name, folder)
         for batch in batches:
             at = 0
             for texts in _batches(batch.column(1), ROWS_AT_ONCE):
-                lists = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+                lists = encode(texts)
                 ends = np.zeros(len(lists) + 1, np.int32)
                 np.cumsum([len(x) for x in lists], out=ends[1:])
-                flat = np.fromiter((i for x in lists for i in x), np.int32, count=int(ends[-1]))
+                flat = np.fromiter(chain.from_iterable(lists), np.int32, count=int(ends[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     names=[id_column, "ids"],
