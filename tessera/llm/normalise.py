@@ -120,6 +120,7 @@ class Transducer:
         self.longest = max(map(len, self.table))
         single = {k for k in self.table if len(k) == 1}
         marks = {k[1] for k in self.table if len(k) > 1} | {chr(c) for c in range(0x300, 0x370)}
+        self.suspect = re.compile(f"[^{_char_class(_common(self.table))}]")
         lone = single | marks | set(self.to_latin)
         self.trigger = re.compile(f"[{_char_class(lone)}]|(?<=[A-Za-z])[{ABROAD}]|[{ABROAD}](?=[A-Za-z])")
         # a run: word characters, marks and triggers around the first trigger
@@ -231,7 +232,7 @@ class Transducer:
         return settled
 
     def __call__(self, text: str) -> str:
-        found = self.trigger.search(text)
+        found = self.suspect.search(text) and self.trigger.search(text)
         if found is None:
             return text
         pieces, at = [], 0
@@ -247,10 +248,80 @@ class Transducer:
         return "".join(pieces)
 
 
+    def aligned(self, text: str) -> tuple[str, list[int], list[int]] | None:
+        """The one form with, for each of its characters, where the characters
+        it stands for begin and end in ``text``; None if nothing changes."""
+        found = self.suspect.search(text) and self.trigger.search(text)
+        if found is None:
+            return None
+        pieces: list[str] = []
+        begins: list[int] = []
+        ends: list[int] = []
+        at = 0
+
+        def keep(begin: int, end: int) -> None:
+            begins.extend(range(begin, end))
+            ends.extend(range(begin + 1, end + 1))
+
+        while found:
+            begin = found.start()
+            while begin > at and (text[begin - 1].isalnum() or text[begin - 1] in self.in_run):
+                begin -= 1
+            end = self.body.match(text, found.end()).end()
+            new = self._rewrite(text, begin, end)
+            keep(at, begin)
+            if len(new) == end - begin:
+                keep(begin, end)
+            else:
+                sources = self._sources(text[begin:end], new)
+                begins += [begin + a for a, _ in sources]
+                ends += [begin + b for _, b in sources]
+            pieces += [text[at:begin], new]
+            at = end
+            found = self.trigger.search(text, at)
+        keep(at, len(text))
+        even = "".join([*pieces, text[at:]])
+        return None if even == text else (even, begins, ends)
+
+    def _sources(self, run: str, new: str) -> list[tuple[int, int]]:
+        """Where each character of a rewritten run comes from."""
+        out: list[tuple[int, int]] = []
+        at = 0
+        while at < len(run):
+            for size in range(min(self.longest, len(run) - at), 0, -1):
+                to = self.table.get(run[at : at + size])
+                if to is not None:
+                    break
+            else:
+                size, to = 1, run[at]
+            out += [(at, at + size)] * len(to)
+            at += size
+        return out if len(out) == len(new) else _walk(run, new)
+
+
+def _walk(run: str, new: str) -> list[tuple[int, int]]:
+    """Sources where accents were joined that the table doesn't have: an accent
+    goes with the character before it."""
+    groups: list[list[int]] = []
+    for k, c in enumerate(run):
+        if groups and unicodedata.combining(c):
+            groups[-1][1] = k + 1
+        elif unicodedata.category(c) != "Cf":
+            groups.append([k, k + 1])
+    spans = [(a, b) for a, b in groups][: len(new)]
+    return spans + [(len(run), len(run))] * (len(new) - len(spans))
+
+
 def _latin(text: str, t: Transducer) -> bool:
     return any(t._script(c) == "LATIN" for c in text)
 
 
+def _common(table: dict[str, str]) -> set[str]:
+    """Common characters that are never triggers, in few ranges."""
+    points = [*range(0x20, 0x250), *range(0x2013, 0x2027), 0x20AC]
+    return {chr(p) for p in points if chr(p) not in table} | {"\n", "\r"}
+
+
 def _spans(chars: set[str]) -> list[list[int]]:
     spans: list[list[int]] = []
     for p in sorted(map(ord, chars)):
@@ -288,9 +359,7 @@ def normalise_text(text: str | None) -> str | None:
 def needs_look(text: Column) -> Column:
     """False for texts of common characters that are never triggers, which so
     never reach Python; few ranges, as Java tries them one by one."""
-    table = build_table()
-    safe = {chr(p) for p in [*range(0x20, 0x250), *range(0x2013, 0x2027), 0x20AC] if chr(p) not in table} | {"\n", "\r"}
-    return text.rlike(f"[^{_java_class(safe)}]")
+    return text.rlike(f"[^{_java_class(_common(build_table()))}]")
 
 
 @F.pandas_udf(StringType())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm.history import replay_batches
 from tessera.llm.leakage import find_leaks, leak_report
 from tessera.llm.normalise import lookalike_records, normalised_fields
+from tessera.llm.pii import find_pii, redact
 from tessera.llm.spans import shared_spans
 from tessera.llm.splitting import split_chunks
 from tessera.llm.tokenising import TOKENIZER_DIR, encode_corpus
@@ -41,6 +42,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_chunks(read_table(spark, sf_dir, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(*(read_table(spark, sf_dir, t) for t in ("chunks", "cells", "uploads")))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(*(read_table(spark, sf_dir, t) for t in ("chunks", "cells", "uploads")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"), "byte_bpe_50k", folder)
 
@@ -62,7 +71,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p2_found, p2_normalised, p3_found, p3_accepted, p5_found, p5_pieces, p7_ids, p8_found, p8_report, p9_found, p9_coverage)
+    found = (p2_found, p2_normalised, p3_found, p3_accepted, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_report, p9_found, p9_coverage)
     return {f.__name__: f for f in found}
 
 
