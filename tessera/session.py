@@ -26,16 +26,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
+_local: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder all executors share.
 
     The cluster names its folder in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a temporary folder is made and set.
+    is unset (tests on one machine) a temporary folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tessera-"))
+        base = _local[0]
     return os.path.join(base, "tessera", uuid.uuid4().hex)
 
 
