@@ -123,9 +123,10 @@ class Transducer:
         self.suspect = re.compile(f"[^{_char_class(_common(self.table))}]")
         lone = single | marks | set(self.to_latin)
         self.trigger = re.compile(f"[{_char_class(lone)}]|(?<=[A-Za-z])[{ABROAD}]|[{ABROAD}](?=[A-Za-z])")
-        # a run: word characters, marks and triggers around the first trigger
-        self.body = re.compile(f"(?:[^\\W_]|[{_char_class(lone)}])*")
-        self.in_run = lone
+        # a run: the word around a trigger, with its marks, invisible characters
+        # and other forms of letters and digits; a space or a sign is one itself
+        self.in_run = {c for c in lone if not (to := self.table.get(c, c)) or to.isalnum() or unicodedata.combining(to[0])}
+        self.body = re.compile(f"(?:[^\\W_]|[{_char_class(self.in_run)}])*")
         self.memo: dict[str, str] = {}
         self.scripts: dict[str, str] = {}
 
@@ -227,6 +228,8 @@ class Transducer:
                 pieces += [text[at : m.start()], word]
                 at = m.end()
             settled = "".join([*pieces, text[at:]])
+            if settled != text:  # an accent may join a letter now
+                settled = self._clusters(settled)
         if fixed and len(self.memo) < 200_000:
             self.memo[run] = settled
         return settled
@@ -237,10 +240,7 @@ class Transducer:
             return text
         pieces, at = [], 0
         while found:
-            begin = found.start()
-            while begin > at and (text[begin - 1].isalnum() or text[begin - 1] in self.in_run):
-                begin -= 1
-            end = self.body.match(text, found.end()).end()
+            begin, end = self._run(text, found.start(), at)
             pieces += [text[at:begin], self._rewrite(text, begin, end)]
             at = end
             found = self.trigger.search(text, at)
@@ -248,6 +248,15 @@ class Transducer:
         return "".join(pieces)
 
 
+    def _run(self, text: str, trigger: int, at: int) -> tuple[int, int]:
+        char = text[trigger]
+        if not (char in self.in_run or char.isalnum()):
+            return trigger, trigger + 1
+        begin = trigger
+        while begin > at and (text[begin - 1].isalnum() or text[begin - 1] in self.in_run):
+            begin -= 1
+        return begin, self.body.match(text, trigger + 1).end()
+
     def aligned(self, text: str) -> tuple[str, list[int], list[int]] | None:
         """The one form with, for each of its characters, where the characters
         it stands for begin and end in ``text``; None if nothing changes."""
@@ -264,10 +273,7 @@ class Transducer:
             ends.extend(range(begin + 1, end + 1))
 
         while found:
-            begin = found.start()
-            while begin > at and (text[begin - 1].isalnum() or text[begin - 1] in self.in_run):
-                begin -= 1
-            end = self.body.match(text, found.end()).end()
+            begin, end = self._run(text, found.start(), at)
             new = self._rewrite(text, begin, end)
             keep(at, begin)
             if len(new) == end - begin:

@@ -278,7 +278,8 @@ class SharedSpans:
     def coverage(self) -> DataFrame:
         """Per document with a shared stretch: doc_id, n_chars, shared_chars,
         n_links (other texts it shares with). A text another document has is
-        shared as a whole."""
+        shared as a whole. Of a stretch that only repeats a short period as
+        much counts as its first and last occurrences cover."""
         both = self.spans.select(F.col("doc_id_a").alias("class_id"), F.col("doc_id_b").alias("other"), F.col("begin_a").alias("begin"), "n_chars").unionByName(
             self.spans.select(F.col("doc_id_b").alias("class_id"), F.col("doc_id_a").alias("other"), F.col("begin_b").alias("begin"), "n_chars")
         )

@@ -30,28 +30,28 @@ def _attached(char: str) -> bool:
     return unicodedata.combining(char) != 0 or char in _JOINERS
 
 
-def _parts(text: str, begin: int, end: int, level: int, room: int) -> Iterator[int]:
-    """Ends of the parts of text[begin:end], none longer than ``room``."""
+def _parts(text: str, begin: int, end: int, level: int, room: int, closing: int) -> Iterator[tuple[int, int]]:
+    """Ends of the parts of text[begin:end], none longer than ``room``, each
+    with the level of the separator that closes it."""
     if end - begin <= room:
-        yield end
+        yield end, closing
         return
+    at = begin
     if level == len(SEPARATORS):
-        at = begin
         while end - at > room:
             cut = at + room
             back = cut
             while back > at and (_attached(text[back]) or text[back - 1] == "\u200d"):
                 back -= 1
             at = back if back > at else cut
-            yield at
-        yield end
+            yield at, level
+        yield end, closing
         return
-    at = begin
     for found in SEPARATORS[level].finditer(text, begin, end):
         if found.end() < end:
-            yield from _parts(text, at, found.end(), level + 1, room)
+            yield from _parts(text, at, found.end(), level + 1, room, level)
             at = found.end()
-    yield from _parts(text, at, end, level + 1, room)
+    yield from _parts(text, at, end, level + 1, room, closing)
 
 
 def _resume(text: str, end: int, overlap: int) -> int:
@@ -73,14 +73,20 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
         return []
     if len(text) <= limit:
         return [(0, len(text))]
+    parts = list(_parts(text, 0, len(text), 0, limit - overlap, 0))
     pieces: list[tuple[int, int]] = []
-    begin, end = 0, 0
-    for cut in _parts(text, 0, len(text), 0, limit - overlap):
-        if cut - begin > limit:
-            pieces.append((begin, end))
-            begin = _resume(text, end, overlap) if overlap else end
-        end = cut
-    pieces.append((begin, end))
+    begin, first = 0, 0
+    while parts[-1][0] - begin > limit:
+        last = first
+        while parts[last + 1][0] - begin <= limit:
+            last += 1
+        # as much as fits, but back to a stronger boundary in the second half
+        best = min(range(first, last + 1), key=lambda k: (parts[k][0] - begin <= limit // 2, parts[k][1], -parts[k][0]))
+        end = parts[best if parts[best][0] - begin > limit // 2 else last][0]
+        pieces.append((begin, end))
+        first = next(k for k in range(first, len(parts)) if parts[k][0] > end)
+        begin = _resume(text, end, overlap) if overlap else end
+    pieces.append((begin, len(text)))
     return pieces
 
 
