@@ -150,20 +150,20 @@ _add(
     lambda s, d: orders_collection(s, d).main.cube("status", "segment").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("gid")),
     f"WITH {BASE} SELECT status, segment, count(*) AS n, CAST(grouping(status, segment) AS INT) AS gid FROM orders_main GROUP BY CUBE (status, segment)",
 )
-_rank = Window.partitionBy("segment").orderBy(F.desc("total"), "_row_id")
-_add("window_top3", lambda s, d: orders_collection(s, d).main.withColumn("rank", F.row_number().over(_rank)).filter("rank <= 3").select("segment", F.col("_row_id").alias("row_id"), "rank", "total"), f"WITH {BASE} SELECT segment, _row_id AS row_id, CAST(row_number() OVER (PARTITION BY segment ORDER BY total DESC, _row_id) AS INT) AS rank, total FROM orders_main QUALIFY rank <= 3")
+_add("window_top3", lambda s, d: orders_collection(s, d).main.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("total"), "_row_id"))).filter("rank <= 3").select("segment", F.col("_row_id").alias("row_id"), "rank", "total"), f"WITH {BASE} SELECT segment, _row_id AS row_id, CAST(row_number() OVER (PARTITION BY segment ORDER BY total DESC, _row_id) AS INT) AS rank, total FROM orders_main QUALIFY rank <= 3")
 
 
 def total_crosscheck(spark, sf_dir):
     c = orders_collection(spark, sf_dir)
-    items = c.children["Line Items"].withColumn("line", (F.col("amount") * (1 - F.col("discount")) * (1 + F.col("tax"))).cast("decimal(18,4)"))
+    exact = lambda c: F.col(c).cast("decimal(12,2)")
+    items = c.children["Line Items"].withColumn("line", exact("amount") * (1 - exact("discount")) * (1 + exact("tax")))
     out = verify.cross_check(c.main, items, "total", "line", is_subtotal=True)
     return out.select(F.col("_row_id").alias("row_id"), F.col("expected").cast("double").alias("expected"), "stated", "agrees")
 
 
 _add(
     "total_crosscheck", total_crosscheck,
-    f"""WITH {BASE}, s AS (SELECT _parent_row_id, CAST(sum(CAST(amount * (1 - discount) * (1 + tax) AS DECIMAL(18,4))) AS DOUBLE) AS expected FROM line_items GROUP BY 1)
+    f"""WITH {BASE}, s AS (SELECT _parent_row_id, CAST(sum(CAST(amount AS DECIMAL(12,2)) * (1 - CAST(discount AS DECIMAL(12,2))) * (1 + CAST(tax AS DECIMAL(12,2)))) AS DOUBLE) AS expected FROM line_items GROUP BY 1)
         SELECT _row_id AS row_id, expected, total AS stated, abs(expected - total) <= greatest(0.02, abs(total) * 0.01) AS agrees FROM orders_main JOIN s ON _row_id = _parent_row_id""",
 )
 _add(
@@ -209,7 +209,7 @@ def phrase_contains(spark, sf_dir):
     return rows.select("doc_id", text.phrase_in(F.lit("invoice"), F.col("plain"), text.words_of(F.col("plain"))).alias("found"))
 
 
-_add("phrase_contains", phrase_contains, "SELECT doc_id, contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'invoice') AS found FROM documents")
+_add("phrase_contains", phrase_contains, "SELECT doc_id, coalesce(contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'invoice'), false) AS found FROM documents")
 _add("phone_digits", lambda s, d: read_table(s, d, "chunks").select("chunk_id", text.phone_in(F.lit("555-01-0"), text.digits_only(F.col("text"))).alias("short"), text.phone_in(F.lit("+020 7946"), text.digits_only(F.col("text"))).alias("found")), "SELECT chunk_id, CASE WHEN text IS NULL THEN CAST(false AS BOOLEAN) ELSE false END AS short, contains(regexp_replace(text, '\\D+', '', 'g'), '0207946') AS found FROM chunks")
 _add("match_keys", lambda s, d: read_table(s, d, "cells").select("column_name").distinct().select("column_name", text.match_key(F.col("column_name")).alias("key"), text.title_case(F.col("column_name")).alias("title")).select("column_name", "key"), "SELECT DISTINCT column_name, regexp_replace(lower(column_name), '[^a-z0-9]', '', 'g') AS key FROM cells")
 _add("validate_email_text", lambda s, d: read_table(s, d, "cells").filter("column_type = 'email' and value_text is not null").select("cell_id", values.is_email(F.col("value_text")).alias("ok")), "SELECT cell_id, regexp_full_match(trim(value_text), '[^\\s@]+@[^\\s@.]+(\\.[^\\s@.]+)+') AS ok FROM cells WHERE column_type = 'email' AND value_text IS NOT NULL")
@@ -222,7 +222,7 @@ _add("format_detect", lambda s, d: read_table(s, d, "uploads").select("upload_id
         WHEN 'png' THEN 'image' WHEN 'jpg' THEN 'image' WHEN 'jpeg' THEN 'image' WHEN 'webp' THEN 'image' WHEN 'tiff' THEN 'image' WHEN 'tif' THEN 'image' END) AS format FROM uploads""")
 _add("text_trim", lambda s, d: read_table(s, d, "documents").select("doc_id", F.length(java_trim(F.col("text"))).alias("n")), "SELECT doc_id, CAST(length(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS INT) AS n FROM documents")
 _add("collections_listing", lambda s, d: read_table(s, d, "collections").groupBy("collection_id").agg(F.max("schema_version").alias("version"), F.max_by("name", F.struct("schema_version", "name")).alias("name")), "SELECT collection_id, max(schema_version) AS version, arg_max(name, (schema_version, name)) AS name FROM collections GROUP BY 1")
-_add("numbers_in_text", lambda s, d: read_table(s, d, "cells").filter("raw_source is not null and raw_source not like '%,%'").select("cell_id", F.size(F.filter(text.numbers_in(F.col("raw_source")), lambda n: n >= 0)).alias("n")), "SELECT cell_id, CAST(len(list_distinct(list_transform(regexp_extract_all(raw_source, '\\d+(?:\\.\\d+)?'), x -> CAST(x AS DOUBLE)))) AS INT) AS n FROM cells WHERE raw_source IS NOT NULL AND raw_source NOT LIKE '%,%'")
+_add("numbers_in_text", lambda s, d: read_table(s, d, "cells").filter("raw_source is not null and raw_source not like '%,%'").select("cell_id", F.size(F.filter(text.numbers_in(F.col("raw_source")), lambda n: n > 0)).alias("n")), "SELECT cell_id, CAST(len(list_filter(list_distinct(list_transform(regexp_extract_all(raw_source, '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE))), lambda x: x > 0)) AS INT) AS n FROM cells WHERE raw_source IS NOT NULL AND raw_source NOT LIKE '%,%'")
 
 # documents: chunking, scoring, mapping
 
