@@ -113,7 +113,7 @@ def response_nodes(response_json: str | None, saved_schema: str | None = None) -
     new = parse_columns(body.get("new_columns"))
     declared = (own or []) + new
     _column_nodes(declared, [], [], out)
-    if own is None:
+    if not own:
         names = {c.name for c in new}
         declared = new + [c for c in load_schema(saved_schema) or [] if c.name not in names]
     if "rows" in body:
