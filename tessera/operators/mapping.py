@@ -228,3 +228,36 @@ def knowledge_sections(responses: DataFrame) -> DataFrame:
     claimed = claims.select("response_id", "column_name").distinct()
     left = columns.join(claimed, ["response_id", "column_name"], "left_anti").select("response_id", (F.col("column_place") + 1_000_000).alias("section_no"), title_case(F.col("column_name")).alias("title"), F.col("column_name").alias("field"))
     return kept.unionByName(left)
+
+
+ANALYSIS = "document_type string, category string, purpose string, owner string, audience string, summary string, sections array<string>, warnings array<string>"
+
+
+def response_analysis(responses: DataFrame) -> DataFrame:
+    """What each response says about its document: response_id, document_type,
+    category, purpose, owner, audience, summary, sections, warnings. A type
+    without a spoken name takes the schema's word in title case; blank texts are
+    null; unreadable responses have no row; repeated rows count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda v: v if isinstance(v, str) and v.strip() else None
+        texts = lambda v: [str(x) for x in v if x is not None] if isinstance(v, list) else []
+        for batch in batches:
+            out = []
+            for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = recover_json(raw)
+                if not isinstance(body, dict):
+                    continue
+                info = body.get("document_type_info") if isinstance(body.get("document_type_info"), dict) else {}
+                about = body.get("document_analysis") if isinstance(body.get("document_analysis"), dict) else {}
+                word = text(body.get("document_type"))
+                spoken = text(info.get("name")) or (" ".join(w[:1].upper() + w[1:] for w in re.split(r"[\s_-]+", word.strip())) if word else None)
+                out.append({
+                    "response_id": rid, "document_type": spoken, "category": text(info.get("category")), "purpose": text(about.get("purpose")), "owner": text(about.get("owner")),
+                    "audience": text(about.get("audience")), "summary": text(about.get("ai_summary")), "sections": texts(about.get("detected_sections")), "warnings": texts(body.get("warnings")),
+                })
+            names = ["document_type", "category", "purpose", "owner", "audience", "summary"]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("response_id", pa.int64()), *[(n, pa.string()) for n in names], ("sections", pa.list_(pa.string())), ("warnings", pa.list_(pa.string()))]))
+
+    rows = responses.select("response_id", "response_json").dropDuplicates(["response_id"])
+    return rows.mapInArrow(run, f"response_id bigint, {ANALYSIS}")

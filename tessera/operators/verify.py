@@ -6,10 +6,13 @@ join on the document; everything else is a chain of expressions on that row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import NUMERIC_EPSILON, digits_only, normalize_text, numbers_in, phone_in, phrase_in, words_of
 from tessera.functions.values import validate_value
+from tessera.model import Column as Column_
 
 #: Levels by score, and what each finding takes off.
 HIGH, MEDIUM = 0.8, 0.5
@@ -189,6 +192,21 @@ def document_confidence(scored: DataFrame) -> DataFrame:
     )
 
 
+def total_columns(columns: list[Column_]) -> tuple[str, str, str, bool, tuple[str, ...], tuple[str, ...]] | None:
+    """What ``cross_check`` needs of a schema: (entity, amount, stated,
+    is_subtotal, surcharges, discounts); None if it has no line amounts or no
+    total. A subtotal goes before a total, as nothing is added to it."""
+    numeric = lambda cs: [c for c in cs if c.type in ("number", "currency")]
+    first = lambda cs, take, leave=None: next((c.name for c in numeric(cs) if re.search(take, c.name) and not (leave and re.search(leave, c.name))), None)
+    lines = next(((c.name, a) for c in columns if c.type == "entity_array" and (a := first(c.children, LINE_AMOUNT, NOT_LINE_AMOUNT))), None)
+    subtotal = first(columns, SUBTOTAL)
+    stated = subtotal or first(columns, TOTAL, SUBTOTAL)
+    if not lines or not stated:
+        return None
+    named = lambda pattern: tuple(c.name for c in numeric(columns) if re.search(pattern, c.name))
+    return (*lines, stated, subtotal is not None, () if subtotal else named(SURCHARGE), () if subtotal else named(DISCOUNT))
+
+
 def cross_check(parents: DataFrame, children: DataFrame, stated: str, amount: str, is_subtotal: bool = False, surcharges: tuple[str, ...] = (), discounts: tuple[str, ...] = ()) -> DataFrame:
     """Line items against the stated total of their parent: _row_id, expected,
     stated, agrees, note. Parents without numeric line items or total are left out."""

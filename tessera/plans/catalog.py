@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tessera.errors import CollectionNotFound, RowNotFound, SchemaConflict, ValidationError
-from tessera.functions.values import sanitized, table_name
+from tessera.functions.values import sanitize_name, sanitized, table_name
 from tessera.model import Column, parse_columns
 from tessera.operators.filters import Collection, coerced
 from tessera.session import remove
@@ -26,6 +26,8 @@ from tessera.session import remove
 ATTEMPTS = 3
 #: Answers the cache keeps, and for how long in seconds.
 CACHE_ROWS, CACHE_SECONDS = 500, 6 * 3600
+#: Blocks of documents in which row ids are counted.
+ID_BLOCKS = 4096
 #: Characters of a document's text that are stored.
 RAW_CHARS = 5000
 _TYPES = {"number": DoubleType(), "currency": DoubleType(), "boolean": BooleanType()}
@@ -250,10 +252,12 @@ class Catalog:
         level = F.coalesce("level", F.lit("low"))
         proof = F.struct(level.alias("level"), "score", "page", "chunk", "note", F.col("raw_source").alias("rawSource"))
         scalars = [c for c in columns if c.type != "entity_array"]
-        pick = lambda c, v: F.max(F.when(F.col("column_name") == c.name, F.col(v)))
+        # by exact name, else by physical name
+        cells = cells.withColumn("_physical", sanitize_name(F.col("column_name")))
+        pick = lambda c, v: F.coalesce(F.max(F.when(F.col("column_name") == c.name, F.col(v))), F.max(F.when(F.col("_physical") == sanitized(c.name), F.col(v))))
         value = {"number": "value_num", "currency": "value_num", "boolean": "value_bool"}
         wide = cells.groupBy(*keys).agg(
-            F.sort_array(F.collect_list(F.struct("column_name", level.alias("level"), proof.alias("proof")))).alias("_all"),
+            F.sort_array(F.collect_list(F.struct(F.col("_physical").alias("column_name"), level.alias("level"), proof.alias("proof")))).alias("_all"),
             *[pick(c, value.get(c.type, "value_text")).alias(sanitized(c.name)) for c in scalars],
         )
         if confidence is not None:
@@ -262,10 +266,16 @@ class Catalog:
             wide = wide.withColumn("_confidence", F.lit(None).cast("string"))
         # contiguous ids: numbers within a document, after those of the documents before it
         within = Window.partitionBy("document_id").orderBy("row_ordinal", "_path")
-        counts = wide.groupBy("document_id").count()
-        starts = counts.withColumn("_start", F.sum("count").over(Window.orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)))
-        numbered = wide.withColumn("_n", F.row_number().over(within)).join(starts.select("document_id", F.coalesce("_start", F.lit(0)).alias("_start")), "document_id")
+        # found by blocks of documents, so that no task sees all of them
+        counts = wide.groupBy("document_id").count().withColumn("_block", F.pmod(F.xxhash64("document_id"), F.lit(ID_BLOCKS)))
+        before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = counts.groupBy("_block").agg(F.sum("count").alias("_in_block")).select("_block", F.coalesce(F.sum("_in_block").over(before), F.lit(0)).alias("_base"))
+        inside = Window.partitionBy("_block").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.join(blocks, "_block").select("document_id", (F.col("_base") + F.coalesce(F.sum("count").over(inside), F.lit(0))).alias("_start"))
+        numbered = wide.withColumn("_n", F.row_number().over(within)).join(starts, "document_id")
         out = numbered.withColumn("_row_id", F.col("_start") + F.col("_n") + last_id)
+        every = F.transform("_all", lambda c: c["column_name"])
+        out = out.withColumn("_all", F.filter("_all", lambda c, k: F.array_position(every, c["column_name"]) == k + 1))
         names = F.transform("_all", lambda c: c["column_name"])
         link = []
         if path:

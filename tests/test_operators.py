@@ -200,13 +200,15 @@ def test_catalog(spark, tmp_path):
     )
     assert cat.append("c-1", cells) == 4 and cat.append("c-1", cells.filter("document_id = 'e'")) == 1
     main = {r._row_id: r for r in cat.table("c-1").collect()}
-    assert [(k, main[k].vendor) for k in sorted(main)] == [(1, "Acme"), (2, "Bee"), (3, "Bee")] and json.loads(main[1]._confidence_json)["Total"] == "low"
-    assert [(r._parent_row_id, r.amount) for r in cat.table("c-1", "data_c_1_line_items").orderBy("_row_id").collect()] == [(1, 2.0), (1, 3.0)]
-    cat.update_cell("c-1", 2, "Total", "$7.50")
-    cat.update_cell("c-1", 2, "total", 8)
-    cat.update_cell("c-1", 1, "Vendor", None)
+    assert sorted(main) == [1, 2, 3] and main[3].vendor == "Bee" and {main[1].vendor, main[2].vendor} == {"Acme", "Bee"}
+    acme, bee = sorted((1, 2), key=lambda k: main[k].vendor)
+    assert json.loads(main[acme]._confidence_json) == {"total": "low", "vendor": "high"}
+    assert [(r._row_id, r._parent_row_id, r.amount) for r in cat.table("c-1", "data_c_1_line_items").orderBy("_row_id").collect()] == [(1, acme, 2.0), (2, acme, 3.0)]
+    cat.update_cell("c-1", bee, "Total", "$7.50")
+    cat.update_cell("c-1", bee, "total", 8)
+    cat.update_cell("c-1", acme, "Vendor", None)
     after = {r._row_id: (r.vendor, r.total) for r in cat.table("c-1").collect()}
-    assert after == {1: (None, 5.0), 2: ("Bee", 8.0), 3: ("Bee", None)}
+    assert after == {acme: (None, 5.0), bee: ("Bee", 8.0), 3: ("Bee", None)}
     with pytest.raises(RowNotFound):
         cat.update_cell("c-1", 99, "Total", 1)
     with pytest.raises(ValidationError):
