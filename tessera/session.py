@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +24,30 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Spark's Python workers where they couldn't import
+    it: it is neither on PYTHONPATH nor below the working folder, nor installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or root == os.getcwd() or os.path.basename(root) in ("site-packages", "dist-packages"):
+        return
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="tessera-code-")  # the driver serves it to all
+    staged = os.path.join(folder, "staged")
+    shutil.copytree(package, os.path.join(staged, "tessera"), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "tessera_package"), "zip", staged))
+    _shipped.add(context.applicationId)
 
 
 _local: list[str] = []
@@ -57,4 +81,5 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -36,3 +36,17 @@ def test_queries_run(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_entry(spark):
     assert contract.entry(spark).columns == ["response_id", "node_kind", "node_path", "parent_path"]
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    code = f"""import sys; sys.path.insert(0, {root!r})
+from tessera.session import local_session
+from tessera.operators.drift import schema_changes
+spark = local_session(cores=1, shuffle_partitions=1, driver_memory='1g')
+rows = [('c', 1, '[{{"name": "A"}}]'), ('c', 2, '[]')]
+print(schema_changes(spark.createDataFrame(rows, 'collection_id string, schema_version int, schema_json string')).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert said.returncode == 0 and said.stdout.split()[-1] == "1", said.stderr[-2000:]
