@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.functions.arrow import pieces
 from tessera.functions.json_text import recover_json
 from tessera.model import Column, load_schema, parse_columns, schema_columns
 from tessera.operators.nested import response_nodes
@@ -95,7 +96,7 @@ def schema_versions(collections: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [load_schema(text) for text in batch.column(2).to_pylist()]
             marked = batch.append_column("fingerprint", pa.array([None if c is None else fingerprint(c) for c in found], pa.string()))
             yield marked.filter(pa.array([c is not None for c in found], pa.bool_()))
@@ -277,7 +278,7 @@ def consistent_table(responses: DataFrame, collections: DataFrame) -> DataFrame:
     id_type = joined.schema["response_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             owners, rows_out = [], []
             for k, r in enumerate(batch.select([2, 3, 4, 5, 6]).to_pylist()):
                 found = _consistent(r["response_json"], r["schema_json"], r["schema_version"], r["latest_json"], r["history"])

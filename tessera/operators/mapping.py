@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.errors import ExtractionError
+from tessera.functions.arrow import pieces
 from tessera.functions.json_text import embedded_json, recover_json
 from tessera.functions.text import match_key, title_case
 from tessera.functions.values import FALSE_WORDS, NUMBER_NOISE, TRUE_WORDS
@@ -145,7 +146,7 @@ def map_responses(responses: DataFrame, collections: DataFrame) -> DataFrame:
     kinds = [pa.int32(), *[pa.string()] * 4, pa.float64(), pa.bool_(), *[pa.string()] * 2, pa.int32(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             owners, cells = [], []
             for k, (text, schema) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 body = recover_json(text)
@@ -202,7 +203,7 @@ def knowledge_sections(responses: DataFrame) -> DataFrame:
     left empty vanish, and each column unclaimed has a section of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body = recover_json(text)
@@ -242,7 +243,7 @@ def response_analysis(responses: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = lambda v: v if isinstance(v, str) and v.strip() else None
         texts = lambda v: [str(x) for x in v if x is not None] if isinstance(v, list) else []
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body = recover_json(raw)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.functions.arrow import pieces
 from tessera.functions.json_text import embedded_json, recover_json
 from tessera.model import Column, load_schema, parse_columns, schema_columns
 
@@ -143,7 +144,7 @@ def shred_responses(responses: DataFrame, collections: DataFrame, with_fields: b
     path_type, name_type = pa.list_(pa.int32()), pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             owners, rows = [], []
             ids_in, texts, schemas = batch.column(0), batch.column(1), batch.column(2)
             for k in range(batch.num_rows):
