@@ -169,9 +169,11 @@ def filter_documents(collection: Collection, request: FilterRequest) -> DataFram
     flags = list(plain)
     k = 0
     for entity, conditions in nested.items():
-        # one pass over the child table tells which of its conditions each parent meets
-        held = [F.max(F.coalesce(_condition(collection, c), F.lit(False))).alias(f"_met{k + i}") for i, c in enumerate(conditions)]
-        met = collection.children[entity].groupBy(F.col(PARENT).alias(ROW)).agg(*held)
+        # one pass over the child table tells which of its conditions each parent
+        # meets; rows that meet none are gone before the shuffle
+        tests = [_condition(collection, c) for c in conditions]
+        held = [F.max(F.coalesce(t, F.lit(False))).alias(f"_met{k + i}") for i, t in enumerate(tests)]
+        met = collection.children[entity].filter(_joined(tests, "any")).groupBy(F.col(PARENT).alias(ROW)).agg(*held)
         out = out.join(met, ROW, "left")
         flags += [F.coalesce(F.col(f"_met{k + i}"), F.lit(False)) for i in range(len(conditions))]
         k += len(conditions)
