@@ -235,6 +235,16 @@ class Transducer:
         return settled
 
     def __call__(self, text: str) -> str:
+        """One pass; where letters of other scripts are left beside what
+        changed, it is looked at again until nothing changes."""
+        new = self._once(text)
+        for _ in range(len(text)):  # each turn settles one word at least
+            if new == text or not _FOREIGN.search(new):
+                break
+            text, new = new, self._once(new)
+        return new
+
+    def _once(self, text: str) -> str:
         found = self.suspect.search(text) and self.trigger.search(text)
         if found is None:
             return text
@@ -287,7 +297,12 @@ class Transducer:
             found = self.trigger.search(text, at)
         keep(at, len(text))
         even = "".join([*pieces, text[at:]])
-        return None if even == text else (even, begins, ends)
+        if even == text:
+            return None
+        settled = self(even)
+        if len(settled) == len(even):  # as always where only look-alikes were left
+            return settled, begins, ends
+        return settled, *map(list, zip(*_walk(text, settled)))
 
     def _sources(self, run: str, new: str) -> list[tuple[int, int]]:
         """Where each character of a rewritten run comes from."""
