@@ -14,7 +14,8 @@ pairs that differ in every twentieth word with a chance below 1e-8.
 
 History holds accepted uploads only, so that a group of copies, however large,
 is one entry. Within a batch a crowded window is compared with its first
-upload only, and what that leaves undecided goes through the loop again.
+upload only, and what that leaves undecided goes through the loop again,
+with a wider notion of crowded each turn.
 """
 
 from __future__ import annotations
@@ -43,11 +44,13 @@ BANDS, SHINGLE = 24, 3
 #: texts of a sample of so many uploads, drawn by hash, and in five texts at
 #: least. The sample only decides what keys are made of; every upload is compared.
 SAMPLE, STANDING, STANDING_LEAST = 2000, 0.005, 5
-#: Keys are made of what is left where it is this share of a text's shingles
-#: (and eight at least), of all shingles where it is less than the second.
-LEFT_LEAST, LEFT_MOST = 0.2, 0.4
-#: Uploads in a window of one batch from which only the first of its key is compared.
-CROWD = 200
+#: Keys of what is left are added where it is this share of a text's shingles
+#: (and eight at least).
+LEFT_LEAST = 0.2
+#: Uploads in a window of one batch from which only the first of its key is
+#: compared, and by how much that grows with each turn: copies are gone after
+#: the first, and what only shares phrases is compared in full after a few.
+CROWD, CROWD_GROWTH = 200, 4
 #: Uploads of one key that are held to find its windows.
 HELD = 50_000
 #: Runs merged into one when so many have gathered.
@@ -158,18 +161,16 @@ def _bands(grams: np.ndarray, salt: int) -> list[int]:
 
 def band_keys(tokens: np.ndarray, standing: np.ndarray) -> list[int]:
     """A key per band, never negative; equal for texts whose two minimum hashes
-    are equal. Keys of hashes are negative. Standing phrases don't count unless
-    they make up most of a text; in between a text has both kinds of keys."""
+    are equal. Keys of hashes are negative. Every text has the keys of all its
+    shingles; those without standing phrases come in addition."""
     grams = shingles(tokens)
     left = grams
     if standing.size:
         at = np.minimum(np.searchsorted(standing, grams), standing.size - 1)
         left = grams[standing[at] != grams]
-    out = []
-    if left.size == grams.size or left.size >= max(8, LEFT_LEAST * grams.size):
+    out = _bands(grams, BANDS)
+    if left.size != grams.size and left.size >= max(8, LEFT_LEAST * grams.size):
         out += _bands(left, 0)
-    if left.size != grams.size and left.size < max(16, LEFT_MOST * grams.size):
-        out += _bands(grams, BANDS)
     return out
 
 
@@ -296,10 +297,11 @@ class UploadHistory:
         of what is accepted to the runs and record what is rejected."""
         pending = self.prepared.filter(F.col("batch_no") == batch_no)
         so_far = self.prepared.filter(F.col("batch_no") <= batch_no)
+        crowd = CROWD
         while n_rows:
             self.steps += 1
             here = f"{self.folder}/step={self.steps:06d}"
-            wait = self._step(pending, so_far, n_rows, here)
+            wait = self._step(pending, so_far, n_rows, crowd, here)
             if wait is None:
                 break
             pending = pending.join(self._read([wait], "upload_id bigint"), "upload_id", "left_semi").select(*pending.columns)
@@ -308,18 +310,18 @@ class UploadHistory:
             remaining = pending.count()
             if remaining >= n_rows:
                 raise RuntimeError("no progress")
-            n_rows = remaining
+            n_rows, crowd = remaining, crowd * CROWD_GROWTH
         if len(self.runs) >= self.compact_every:
             self.compact()
 
-    def _step(self, pending: DataFrame, so_far: DataFrame, n_rows: int, here: str) -> str | None:
+    def _step(self, pending: DataFrame, so_far: DataFrame, n_rows: int, crowd: int, here: str) -> str | None:
         """One comparison of all that is pending; the path of what must wait."""
         hint = F.broadcast if n_rows * (2 * BANDS + 1) <= KEY_ROWS else (lambda df: df)
         keys = pending.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"))
         # the window around a key: equal key, and a length that allows a match;
         # lengths say nothing where the key is that of a hash
         apart = F.abs(F.col("n_words") - F.col("n")) <= F.greatest("n_words", "n") * self.tolerance + 1e-9
-        sides = [keys.repartition("key").sortWithinPartitions("key", "b").mapInArrow(_neighbours(self.tolerance), PAIRS)]
+        sides = [keys.repartition("key").sortWithinPartitions("key", "b").mapInArrow(_neighbours(self.tolerance, crowd), PAIRS)]
         if self.runs:
             history = self._read(self.runs, RUN)
             met = history.join(hint(keys), "key").filter(((F.col("key") < 0) | apart) & (F.col("upload_id") < F.col("b")))
@@ -431,24 +433,27 @@ class UploadHistory:
             remove(self.spark, old)
 
 
-def _neighbours(tolerance: float):
+def _neighbours(tolerance: float, crowd: int):
     """Pairs within the windows of one batch, from its keys in order (key, n, b):
-    equal key, and a length that allows a match. Where a window of a key is
-    crowded its first upload alone is paired with the others, and these come
-    once more with a null: they have to wait. Equal pairs come more than once."""
+    equal key, and a length that allows a match. Where a window of a key holds
+    more than ``crowd`` its first upload alone is paired with the others, and
+    these come once more with a null: they have to wait. Equal pairs come more
+    than once."""
+    at_once, held = 100_000, max(HELD, crowd + 2)
 
-    def pairs(key: int, members: list[tuple[int, int]]) -> list[tuple[int | None, int]]:
-        out: list[tuple[int | None, int]] = []
+    def pairs(key: int, members: list[tuple[int, int]]) -> Iterator[list[tuple[int | None, int]]]:
         by_length = sorted(members) if key >= 0 else [(0, b) for _, b in members]
-        begin = 0
+        begins, begin = [], 0
         for k, (n, b) in enumerate(by_length):
             while n - by_length[begin][0] > n * tolerance + 1e-9:
                 begin += 1
-            if k - begin > CROWD:
+            if k - begin > crowd:
                 first = members[0][1]
-                return [p for _, b in members[1:] for p in ((first, b), (None, b))]
-            out += ((min(a, b), max(a, b)) for _, a in by_length[begin:k])
-        return out
+                yield [p for _, b in members[1:] for p in ((first, b), (None, b))]
+                return
+            begins.append(begin)
+        for k, (_, b) in enumerate(by_length):
+            yield [(min(a, b), max(a, b)) for _, a in by_length[begins[k] : k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, spilled = None, [], False
@@ -461,9 +466,13 @@ def _neighbours(tolerance: float):
             for now, n, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if now != key:
                     if len(members) > 1 and not spilled:
-                        out += pairs(key, members)
+                        for more in pairs(key, members):
+                            out += more
+                            if len(out) >= at_once:
+                                yield batch_of(out)
+                                out = []
                     key, members, spilled = now, [], False
-                if len(members) < HELD:
+                if len(members) < held:
                     members.append((n, b))
                     continue
                 if not spilled:  # too many to hold: crowded by any measure
@@ -472,7 +481,13 @@ def _neighbours(tolerance: float):
                 out += ((members[0][1], b), (None, b))
             yield batch_of(out)
         if len(members) > 1 and not spilled:
-            yield batch_of(pairs(key, members))
+            out = []
+            for more in pairs(key, members):
+                out += more
+                if len(out) >= at_once:
+                    yield batch_of(out)
+                    out = []
+            yield batch_of(out)
 
     return run
 

@@ -125,6 +125,24 @@ def test_history_against_brute_force(spark, monkeypatch):
     assert set(map(tuple, history.replay_batches(uploads, chunks).rejections().collect())) == want
 
 
+@pytest.mark.parametrize("own, spread", [(0.18, True), (0.4, False), (0.5, False), (0.65, False)])
+def test_standing_phrases_take_no_pair_its_keys(own, spread):
+    import numpy as np
+
+    rng, n, missed = np.random.default_rng(7), 400, 0
+    phrases = rng.integers(1 << 31, 1 << 32, n).astype(np.uint32)
+    for _ in range(40):
+        a = phrases.copy()
+        a[: int(n * own)] = rng.integers(0, 1 << 31, int(n * own))
+        b = a.copy()
+        at = np.arange(5, n, 10) if spread else np.arange(1, n // 10 * 2, 2)[: int(n * own / 2)]  # within the own part
+        b[at] = rng.integers(0, 1 << 31, at.size)
+        assert history.within(a, b, n // 10)
+        keys = [set(history.band_keys(t, history.shingles(phrases))) for t in (a, b)]
+        missed += not keys[0] & keys[1]
+    assert missed == 0
+
+
 def test_history_of_nothing(spark):
     uploads = spark.createDataFrame([], "upload_id bigint, document_id string, batch_no int, content_hash string")
     chunks = spark.createDataFrame([], "chunk_id bigint, document_id string, chunk_index int, text string")
