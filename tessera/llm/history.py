@@ -34,19 +34,12 @@ from pyspark.sql.types import StringType
 from tessera.functions.arrow import pieces
 from tessera.llm.normalise import transducer
 from tessera.llm.words import words
-from tessera.session import materialise, remove, scratch_dir
+from tessera.session import remove, scratch_dir
 
 #: A match may change this share of the words of the longer text.
 TOLERANCE = 0.1
 #: Bands of two minimum hashes, and the words of a shingle.
 BANDS, SHINGLE = 24, 3
-#: Standing phrases are left out of the keys: shingles in this share of the
-#: texts of a sample of so many uploads, drawn by hash, and in five texts at
-#: least. The sample only decides what keys are made of; every upload is compared.
-SAMPLE, STANDING, STANDING_LEAST = 2000, 0.005, 5
-#: Keys of what is left are added where it is this share of a text's shingles
-#: (and eight at least).
-LEFT_LEAST = 0.2
 #: Uploads in a window of one batch from which only the first of its key is
 #: compared, and by how much that grows with each turn: copies are gone after
 #: the first, and what only shares phrases is compared in full after a few.
@@ -149,40 +142,20 @@ def shingles(tokens: np.ndarray) -> np.ndarray:
     return np.unique(grams)
 
 
-def _bands(grams: np.ndarray, salt: int) -> list[int]:
+def band_keys(tokens: np.ndarray) -> list[int]:
+    """A key per band, never negative; equal for texts whose two minimum hashes
+    are equal. Keys of hashes are negative. They are made of all shingles of
+    this text and depend on no other."""
+    grams = shingles(tokens)
     least = np.full(BANDS * 2, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, grams.size, 4096):
         block = grams[at : at + 4096, None] * _SEEDS[0] + _SEEDS[1]
         block ^= block >> np.uint64(31)
         np.minimum(least, (block * _MIX).min(axis=0), out=least)
-    pairs = (least[0::2] * _MIX + least[1::2]) * _SEEDS[0][:BANDS] + np.arange(salt, salt + BANDS, dtype=np.uint64)
+    pairs = (least[0::2] * _MIX + least[1::2]) * _SEEDS[0][:BANDS] + np.arange(BANDS, dtype=np.uint64)
     return (pairs >> np.uint64(1)).astype(np.int64).tolist()
 
 
-def band_keys(tokens: np.ndarray, standing: np.ndarray) -> list[int]:
-    """A key per band, never negative; equal for texts whose two minimum hashes
-    are equal. Keys of hashes are negative. Every text has the keys of all its
-    shingles; those without standing phrases come in addition."""
-    grams = shingles(tokens)
-    left = grams
-    if standing.size:
-        at = np.minimum(np.searchsorted(standing, grams), standing.size - 1)
-        left = grams[standing[at] != grams]
-    out = _bands(grams, BANDS)
-    if left.size != grams.size and left.size >= max(8, LEFT_LEAST * grams.size):
-        out += _bands(left, 0)
-    return out
-
-
-def standing_shingles(texts: list[bytes]) -> np.ndarray:
-    """Shingles of the standing phrases of a sample of texts, equal texts once."""
-    distinct = list(dict.fromkeys(texts))
-    if not distinct:
-        return np.empty(0, np.uint64)
-    values, counts = np.unique(np.concatenate([shingles(np.frombuffer(t, np.uint32)) for t in distinct]), return_counts=True)
-    return values[counts >= max(STANDING_LEAST, STANDING * len(distinct))]
-
-
 def _hashed_words(chunks: DataFrame) -> DataFrame:
     """document_id and its words in order as packed 32-bit hashes."""
 
@@ -223,7 +196,7 @@ def _digests(raw):
 PREPARED = "batch_no int, upload_id bigint, digest string, n_words int, words binary, keys array<bigint>"
 
 
-def prepare_uploads(uploads: DataFrame, chunks: DataFrame, folder: str) -> DataFrame:
+def prepare_uploads(uploads: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each upload as it is compared: its digest, its words and its sort keys.
     Repeated rows count once; null ids are left out; uploads without words have
     the key of their hash only; a null batch number counts as the last batch."""
@@ -238,18 +211,13 @@ def prepare_uploads(uploads: DataFrame, chunks: DataFrame, folder: str) -> DataF
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(data, pa.binary())], names=["batch_no", "upload_id", "digest", "words"])
 
     joined = up.join(_hashed_words(chunks), "document_id", "left").select("batch_no", "upload_id", "digest", "parts")
-    records = materialise(joined.mapInArrow(join_parts, "batch_no int, upload_id bigint, digest string, words binary"), f"{folder}/texts")
-    with_words = records.filter(F.length("words") > 0)
-    share = max(1, with_words.count() // SAMPLE)  # so that tasks send few rows each
-    drawn = with_words.filter(F.pmod(F.xxhash64("upload_id"), F.lit(share)) == 0)
-    sample = drawn.orderBy(F.xxhash64("upload_id"), "upload_id").limit(SAMPLE).select("words").collect()
-    standing = uploads.sparkSession.sparkContext.broadcast(standing_shingles([bytes(r["words"]) for r in sample]))
+    records = joined.mapInArrow(join_parts, "batch_no int, upload_id bigint, digest string, words binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = [], []
             for digest, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = band_keys(np.frombuffer(data, np.uint32), standing.value) if data else []
+                own = band_keys(np.frombuffer(data, np.uint32)) if data else []
                 if digest:
                     head = digest.encode()
                     own.append((crc32(head) << 31 | crc32(head[::-1]) & 0x7FFFFFFF) - (1 << 63))
@@ -520,7 +488,7 @@ def replay_batches(uploads: DataFrame, chunks: DataFrame, folder: str | None = N
     spark = uploads.sparkSession
     folder = folder or scratch_dir(spark)
     parts = 1 + uploads.count() // BATCH_ROWS  # a large batch is written by several tasks
-    spread = prepare_uploads(uploads, chunks, folder).repartition("batch_no", F.pmod(F.xxhash64("upload_id"), F.lit(parts)))
+    spread = prepare_uploads(uploads, chunks).repartition("batch_no", F.pmod(F.xxhash64("upload_id"), F.lit(parts)))
     spread.write.partitionBy("batch_no").parquet(f"{folder}/prepared")
     prepared = spark.read.schema(PREPARED).parquet(f"{folder}/prepared")
     history = UploadHistory(prepared, folder)

@@ -138,11 +138,21 @@ def test_standing_phrases_take_no_pair_its_keys(own, spread):
         at = np.arange(5, n, 10) if spread else np.arange(1, n // 10 * 2, 2)[: int(n * own / 2)]  # within the own part
         b[at] = rng.integers(0, 1 << 31, at.size)
         assert history.within(a, b, n // 10)
-        keys = [set(history.band_keys(t, history.shingles(phrases))) for t in (a, b)]
+        keys = [set(history.band_keys(t)) for t in (a, b)]
         missed += not keys[0] & keys[1]
     assert missed == 0
 
 
+def test_keys_depend_on_no_other_upload(spark):
+    order = random.Random(5)
+    phrases = order.choices([f"p{k}" for k in range(200)], k=40)
+    texts = {k: phrases + order.choices([f"w{k}" for k in range(400)], k=40) for k in range(1, 11)}
+    uploads = spark.createDataFrame([(k, f"d{k}", 1, None) for k in texts], "upload_id bigint, document_id string, batch_no int, content_hash string")
+    chunks = spark.createDataFrame([(k, f"d{k}", 1, " ".join(t)) for k, t in texts.items()], "chunk_id bigint, document_id string, chunk_index int, text string")
+    alone, among = (history.prepare_uploads(uploads.filter(f), chunks).filter("upload_id = 1").first()["keys"] for f in ("upload_id = 1", "true"))
+    assert alone == among and len(alone) == history.BANDS
+
+
 def test_history_of_nothing(spark):
     uploads = spark.createDataFrame([], "upload_id bigint, document_id string, batch_no int, content_hash string")
     chunks = spark.createDataFrame([], "chunk_id bigint, document_id string, chunk_index int, text string")
