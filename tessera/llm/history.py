@@ -15,7 +15,8 @@ pairs that differ in every twentieth word with a chance below 1e-8.
 History holds accepted uploads only, so that a group of copies, however large,
 is one entry. Within a batch a crowded window is compared with its first
 upload only, and what that leaves undecided goes through the loop again,
-with a wider notion of crowded each turn.
+with a wider notion of crowded each turn. An upload of a crowded window that is
+found to be a repeat is named by a last comparison with all accepted ones.
 """
 
 from __future__ import annotations
@@ -265,11 +266,12 @@ class UploadHistory:
         of what is accepted to the runs and record what is rejected."""
         pending = self.prepared.filter(F.col("batch_no") == batch_no)
         so_far = self.prepared.filter(F.col("batch_no") <= batch_no)
-        crowd = CROWD
+        crowd, nameless = CROWD, []
         while n_rows:
             self.steps += 1
             here = f"{self.folder}/step={self.steps:06d}"
-            wait = self._step(pending, so_far, n_rows, crowd, here)
+            wait, repeats = self._step(pending, so_far, n_rows, crowd, here)
+            nameless += [repeats] if repeats else []
             if wait is None:
                 break
             pending = pending.join(self._read([wait], "upload_id bigint"), "upload_id", "left_semi").select(*pending.columns)
@@ -279,25 +281,46 @@ class UploadHistory:
             if remaining >= n_rows:
                 raise RuntimeError("no progress")
             n_rows, crowd = remaining, crowd * CROWD_GROWTH
+        if nameless:
+            self._name(batch_no, so_far, nameless)
         if len(self.runs) >= self.compact_every:
             self.compact()
 
-    def _step(self, pending: DataFrame, so_far: DataFrame, n_rows: int, crowd: int, here: str) -> str | None:
-        """One comparison of all that is pending; the path of what must wait."""
-        hint = F.broadcast if n_rows * (2 * BANDS + 1) <= KEY_ROWS else (lambda df: df)
-        keys = pending.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"))
-        # the window around a key: equal key, and a length that allows a match;
-        # lengths say nothing where the key is that of a hash
+    def _met(self, keys: DataFrame) -> DataFrame:
+        """Pairs with accepted uploads: the window around a key is equal key and
+        a length that allows a match; lengths say nothing where the key is that
+        of a hash."""
         apart = F.abs(F.col("n_words") - F.col("n")) <= F.greatest("n_words", "n") * self.tolerance + 1e-9
+        met = self._read(self.runs, RUN).join(keys, "key").filter(((F.col("key") < 0) | apart) & (F.col("upload_id") < F.col("b")))
+        return met.select(F.col("upload_id").alias("a"), "b")
+
+    def _name(self, batch_no: int, so_far: DataFrame, nameless: list[str]) -> None:
+        """The smallest accepted upload each of these repeats. They have seen
+        the first upload of a crowded window only, but all that are accepted
+        are in the runs by now, and those that share a key are compared."""
+        here = f"{self.folder}/step={self.steps:06d}"
+        them = self._read(nameless, "upload_id bigint")
+        hint = F.broadcast if them.count() * (BANDS + 1) <= KEY_ROWS else (lambda df: df)
+        late = self.prepared.filter(F.col("batch_no") == batch_no).join(them, "upload_id", "left_semi")
+        keys = late.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"))
+        seen = Observation()
+        self._met(hint(keys)).distinct().observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{here}/all_met")
+        matched = self._verify(self._read([f"{here}/all_met"], PAIRS), so_far, seen.get["n"])
+        matched.groupBy("b").agg(F.min("a").alias("a")).select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b")).write.parquet(f"{here}/named")
+        self.rejected.append(f"{here}/named")
+
+    def _step(self, pending: DataFrame, so_far: DataFrame, n_rows: int, crowd: int, here: str) -> tuple[str | None, str | None]:
+        """One comparison of all that is pending; the paths of what must wait and
+        of what is rejected but not yet named."""
+        hint = F.broadcast if n_rows * (BANDS + 1) <= KEY_ROWS else (lambda df: df)
+        keys = pending.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"))
         sides = [keys.repartition("key").sortWithinPartitions("key", "b").mapInArrow(_neighbours(self.tolerance, crowd), PAIRS)]
         if self.runs:
-            history = self._read(self.runs, RUN)
-            met = history.join(hint(keys), "key").filter(((F.col("key") < 0) | apart) & (F.col("upload_id") < F.col("b")))
-            sides.append(met.select(F.col("upload_id").alias("a"), "b"))
+            sides.append(self._met(hint(keys)))
         candidates = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
         seen = Observation()
         candidates.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").isNull()).alias("waiting")).write.parquet(f"{here}/candidates")
-        rejected = undecided = None
+        rejected = undecided = nameless = None
         if n_pairs := seen.get["n"]:
             pairs = self._read([f"{here}/candidates"], PAIRS)
             waiting = pairs.filter("a is null").select("b") if seen.get["waiting"] else None
@@ -306,10 +329,9 @@ class UploadHistory:
             n_matched = found.get["n"]
             if n_matched or waiting is not None:
                 matched = self._read([f"{here}/matched"], PAIRS)
-                newest = pending.select("upload_id")
-                rejected, undecided = self._settle(matched, waiting, newest, n_matched + seen.get["waiting"], here)
+                rejected, undecided, nameless = self._settle(matched, waiting, n_matched + seen.get["waiting"], here)
         keep = pending
-        for path, schema in ((rejected, "upload_id_a bigint, upload_id_b bigint"), (undecided, "upload_id bigint")):
+        for path, schema in ((rejected, "upload_id_a bigint, upload_id_b bigint"), (undecided, "upload_id bigint"), (nameless, "upload_id bigint")):
             if path:
                 out = self._read([path], schema)
                 keep = keep.join(hint(out.select(F.col(out.columns[-1]).alias("upload_id"))), "upload_id", "left_anti")
@@ -317,7 +339,7 @@ class UploadHistory:
         self.runs.append(f"{here}/run")
         if rejected:
             self.rejected.append(rejected)
-        return undecided
+        return undecided, nameless
 
     def _verify(self, pairs: DataFrame, so_far: DataFrame, n_pairs: int) -> DataFrame:
         """The pairs that do match. The records of both uploads of a pair are
@@ -346,51 +368,49 @@ class UploadHistory:
 
         return records.select("a", "b", "digest", "words").repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, PAIRS)
 
-    def _settle(self, matched: DataFrame, waiting: DataFrame | None, newest: DataFrame, n_rows: int, here: str) -> tuple[str | None, str | None]:
-        """Who is rejected and who must wait, as paths: in the order of ids an
-        upload is accepted unless it matches an accepted one. Uploads of a
-        crowded window, and those that match one not yet decided, wait."""
+    def _settle(self, matched: DataFrame, waiting: DataFrame | None, n_rows: int, here: str) -> tuple[str | None, str | None, str | None]:
+        """Who is rejected, who must wait, and who is rejected but not yet named,
+        as paths: in the order of ids an upload is accepted unless it matches an
+        accepted one. Uploads of a crowded window, and those that match one not
+        yet decided, wait; the former aren't named yet when they are rejected."""
         if n_rows > SMALL_ROWS:
-            return self._settle_widely(matched, waiting, newest, here)
+            return self._settle_widely(matched, waiting, here)
         pairs = [(r["a"], r["b"]) for r in matched.collect()]
         held = {r["b"] for r in waiting.collect()} if waiting is not None else set()
         repeats, waits = settle(pairs, held)
+        named, nameless = [(a, b) for a, b in repeats if b not in held], [(b,) for _, b in repeats if b in held]
         out = []
-        for name, data, schema in (("rejected", repeats, "upload_id_a bigint, upload_id_b bigint"), ("undecided", [(w,) for w in waits], "upload_id bigint")):
+        for name, data, schema in (("rejected", named, "upload_id_a bigint, upload_id_b bigint"), ("undecided", [(w,) for w in waits], "upload_id bigint"), ("nameless", nameless, "upload_id bigint")):
             if data:
                 self.spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{here}/{name}")
             out.append(f"{here}/{name}" if data else None)
-        return out[0], out[1]
+        return out[0], out[1], out[2]
 
-    def _settle_widely(self, matched: DataFrame, waiting: DataFrame | None, newest: DataFrame, here: str) -> tuple[str, str]:
-        """The same by joins: again and again those are accepted that match
-        nothing open and don't wait, and what matches them is rejected."""
+    def _settle_widely(self, matched: DataFrame, waiting: DataFrame | None, here: str) -> tuple[str, str | None, str | None]:
+        """The same by joins: again and again those are struck whose least match
+        not yet struck is accepted, as it matches nothing open and doesn't wait."""
         waiting = (waiting if waiting is not None else matched.select("b").limit(0)).distinct()
-        new = newest.select(F.col("upload_id").alias("a"))
-        done = matched.join(new, "a", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
-        pairs = matched.join(new, "a", "left_semi").select("a", "b").join(done.select("b"), "b", "left_anti").join(done.select(F.col("b").alias("a")), "a", "left_anti")
-        verdicts, turn = [done.select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b"))], 0
+        pairs, verdicts, turn = matched.select("a", "b"), [], 0
         while True:
-            pairs.select("a", "b").write.parquet(path := f"{here}/open{turn}")
+            pairs.write.parquet(path := f"{here}/open{turn}")
             pairs = self._read([path], PAIRS)
-            free = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti").join(waiting.select(F.col("b").alias("a")), "a", "left_anti")
-            pairs.join(free, "a", "left_semi").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").write.parquet(path := f"{here}/struck{turn}")
+            least = pairs.groupBy("b").agg(F.min("a").alias("a"))
+            sure = least.join(pairs.select(F.col("b").alias("a")), "a", "left_anti").join(waiting.select(F.col("b").alias("a")), "a", "left_anti")
+            sure.select("a", "b").write.parquet(path := f"{here}/struck{turn}")
             struck = self._read([path], PAIRS)
             if struck.isEmpty():
                 break
-            verdicts.append(struck.select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b")))
+            verdicts.append(path)
             gone = struck.select("b")
-            pairs = pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
+            pairs = pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
             turn += 1
-        rejected = verdicts[0]
-        for more in verdicts[1:]:
-            rejected = rejected.unionByName(more)
-        rejected.write.parquet(f"{here}/rejected")
-        out = self._read([f"{here}/rejected"], "upload_id_a bigint, upload_id_b bigint").select(F.col("upload_id_b").alias("upload_id"))
-        left = pairs.select(F.col("b").alias("upload_id")).unionByName(waiting.select(F.col("b").alias("upload_id"))).distinct()
-        left.join(out, "upload_id", "left_anti").write.parquet(f"{here}/undecided")
-        undecided = f"{here}/undecided"
-        return f"{here}/rejected", None if self._read([undecided], "upload_id bigint").isEmpty() else undecided
+        struck = self._read(verdicts, PAIRS)
+        struck.join(waiting, "b", "left_anti").select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b")).write.parquet(f"{here}/rejected")
+        struck.join(waiting, "b", "left_semi").select(F.col("b").alias("upload_id")).write.parquet(f"{here}/nameless")
+        left = pairs.select("b").unionByName(waiting).distinct().join(struck.select("b"), "b", "left_anti")
+        left.select(F.col("b").alias("upload_id")).write.parquet(f"{here}/undecided")
+        undecided, nameless = (None if self._read([path], "upload_id bigint").isEmpty() else path for path in (f"{here}/undecided", f"{here}/nameless"))
+        return f"{here}/rejected", undecided, nameless
 
     def compact(self) -> None:
         """Merge all runs into one, sorted by key range."""

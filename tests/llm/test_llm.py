@@ -153,6 +153,31 @@ def test_keys_depend_on_no_other_upload(spark):
     assert alone == among and len(alone) == history.BANDS
 
 
+def test_settling_widely_is_settling(spark, tmp_path):
+    order = random.Random(9)
+    past = history.UploadHistory(spark.createDataFrame([], history.PREPARED), str(tmp_path))
+    cases = [([(10, 15), (15, 20), (20, 60), (50, 60)], set())]
+    for _ in range(3):
+        cases.append((list({tuple(sorted(order.sample(range(1, 25), 2))) for _ in range(25)}), set(order.sample(range(1, 25), 2))))
+    for k, (matches, held) in enumerate(cases):
+        want, waits = history.settle(matches, held)
+        paths = past._settle_widely(spark.createDataFrame(matches, history.PAIRS), spark.createDataFrame([(h,) for h in held], "b bigint"), f"{tmp_path}/{k}")
+        rejected, undecided, nameless = ([tuple(r) for r in spark.read.parquet(p).collect()] if p else [] for p in paths)
+        assert sorted(rejected) == sorted((a, b) for a, b in want if b not in held)
+        assert sorted(undecided) == [(w,) for w in waits] and sorted(nameless) == sorted((b,) for _, b in want if b in held)
+
+
+def test_a_repeat_in_a_crowd_is_named_by_the_smallest(spark, monkeypatch):
+    monkeypatch.setattr(history, "CROWD", 1)
+    base = [f"w{k}" for k in range(200)]
+    # 1 to 23 share keys with 25 and don't match it
+    texts = {k: base[: 8 * k - 8] + [f"v{k}x{i}" for i in range(24)] + base[8 * k + 16 :] for k in range(1, 24)}
+    texts |= {25: base, 26: [f"u{k}" for k in range(200)], 30: base}
+    uploads = spark.createDataFrame([(k, f"d{k}", 1, "ab" * 32 if k in (26, 30) else None) for k in texts], "upload_id bigint, document_id string, batch_no int, content_hash string")
+    chunks = spark.createDataFrame([(k, f"d{k}", 1, " ".join(t)) for k, t in texts.items()], "chunk_id bigint, document_id string, chunk_index int, text string")
+    assert [tuple(r) for r in history.replay_batches(uploads, chunks).rejections().collect()] == [(25, 30)]
+
+
 def test_history_of_nothing(spark):
     uploads = spark.createDataFrame([], "upload_id bigint, document_id string, batch_no int, content_hash string")
     chunks = spark.createDataFrame([], "chunk_id bigint, document_id string, chunk_index int, text string")
