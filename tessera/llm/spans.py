@@ -101,15 +101,22 @@ def _picked(data: np.ndarray, ends: np.ndarray, window: int, min_chars: int) ->
     return at, hashes[at]
 
 
-def _thin(hashes: np.ndarray, places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+def _thin(hashes: np.ndarray, places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Without the inner windows of periodic stretches: of equal windows less
-    than ``reach`` apart the first and the last are kept."""
+    than ``reach`` apart the first and the last are kept, with the period (0
+    for others). Each lies within a period of its end of the stretch, so that
+    the best shift of two stretches is that of two firsts or of two lasts, or a
+    period beside it."""
     order = np.lexsort((places, hashes))
     h, p = hashes[order], places[order]
-    near = (h[1:] == h[:-1]) & (p[1:] - p[:-1] < reach)
+    gap = p[1:] - p[:-1]
+    near = (h[1:] == h[:-1]) & (gap < reach)
+    period = np.zeros(h.size, np.int64)
+    period[1:] = np.where(near, gap, 0)
+    period[:-1] = np.where(near, gap, period[:-1])
     inner = np.zeros(h.size, bool)
     inner[1:-1] = near[:-1] & near[1:]
-    return h[~inner], p[~inner]
+    return h[~inner], p[~inner], period[~inner]
 
 
 def text_windows(column: pa.Array, window: int = WINDOW, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,22 +326,23 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
             owner, place, hashes = text_windows(batch.column(1), window, min_chars)
             keep = _estimated_repeated(hashes, sketch.value, bits)
             owner, place, hashes = owner[keep], place[keep], hashes[keep]
-            taken, lists, places = [], [], []
+            taken, lists, places, periods = [], [], [], []
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             for k in np.flatnonzero(np.diff(bounds)):
-                h, p = _thin(hashes[bounds[k] : bounds[k + 1]], place[bounds[k] : bounds[k + 1]], reach)
+                h, p, period = _thin(hashes[bounds[k] : bounds[k + 1]], place[bounds[k] : bounds[k + 1]], reach)
                 taken.append(int(k))
                 lists.append(h.astype(np.int64))
                 places.append(p)
+                periods.append(period)
             take = pa.array(taken, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))],
-                names=["doc_id", "text", "hashes", "places"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(periods, pa.list_(pa.int64()))],
+                names=["doc_id", "text", "hashes", "places", "periods"],
             )
 
     kept = (
         rows.filter(F.length("text") >= min_chars)
-        .mapInArrow(second, "doc_id bigint, text string, hashes array<bigint>, places array<bigint>")
+        .mapInArrow(second, "doc_id bigint, text string, hashes array<bigint>, places array<bigint>, periods array<bigint>")
         .withColumn("digest", F.md5("text"))
     )
     kept = materialise(kept, f"{scratch_dir(spark)}/kept")
@@ -342,13 +350,16 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
     small = kept.select("doc_id", "digest", F.length("text").alias("n_chars")).distinct().join(classes, "digest")
     heads = kept.join(classes, "digest").filter("doc_id = class_id").dropDuplicates(["doc_id"])
     texts = heads.select("doc_id", "text")
-    windows = heads.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("doc_id", F.col("w.hashes").alias("h"), F.col("w.places").alias("place"))
-    left = windows.select("h", F.col("doc_id").alias("doc_id_a"), F.col("place").alias("place_a"))
-    right = windows.select("h", F.col("doc_id").alias("doc_id_b"), F.col("place").alias("place_b"))
+    windows = heads.select("doc_id", F.explode(F.arrays_zip("hashes", "places", "periods")).alias("w")).select("doc_id", F.col("w.hashes").alias("h"), F.col("w.places").alias("place"), F.col("w.periods").alias("period"))
+    left = windows.select("h", F.col("doc_id").alias("doc_id_a"), F.col("place").alias("place_a"), F.col("period").alias("period_a"))
+    right = windows.select("h", F.col("doc_id").alias("doc_id_b"), F.col("place").alias("place_b"), F.col("period").alias("period_b"))
     meets = (
         left.join(right, "h").filter("doc_id_a < doc_id_b")
-        .groupBy("doc_id_a", "doc_id_b", (F.col("place_a") - F.col("place_b")).alias("shift"))
-        .agg(F.min("place_a").alias("place_a"), F.max("place_a").alias("last_a"))
+        .withColumn("period", F.greatest("period_a", "period_b"))
+        .withColumn("aside", F.explode(F.expr("if(period > 0, array(0L, -period, period), array(0L))")))
+        .withColumn("slack", F.abs("aside"))
+        .groupBy("doc_id_a", "doc_id_b", (F.col("place_a") - F.col("place_b") + F.col("aside")).alias("shift"))
+        .agg(F.min(F.col("place_a") - F.col("slack")).alias("place_a"), F.max(F.col("place_a") + F.col("slack")).alias("last_a"))
     )
     with_texts = (
         meets.join(texts.select(F.col("doc_id").alias("doc_id_a"), F.col("text").alias("text_a")), "doc_id_a")
@@ -362,6 +373,7 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
             for k in range(batch.num_rows):
                 shift, at, last = (batch.column(c)[k].as_py() for c in (2, 3, 4))
                 a, b = batch.column(5)[k].as_py(), batch.column(6)[k].as_py()
+                at = _next_common(a, b, max(at, shift, 0), shift, last, window)
                 while at <= last:
                     x, y, n = _stretch(a, b, at, at - shift)
                     first_a, chars = _characters(a, x, n)

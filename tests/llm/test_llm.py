@@ -383,6 +383,20 @@ def test_spans_against_brute_force(spark, seed):
             assert r.shared_chars == len(covered), k
 
 
+def test_periodic_stretches_are_aligned_at_their_best(spark):
+    order = random.Random(11)
+    noise = lambda n: "".join(chr(order.randrange(0x3041, 0x3090)) for _ in range(n))
+    rows = []
+    for k in range(60):
+        period, texts = "".join(order.choices("abcdefghijklmnop", k=120)) * 14, []
+        for n in (402, order.randrange(700, 1101)):
+            begin = order.randrange(120)
+            texts.append(noise(order.randrange(50)) + period[begin : begin + n] + noise(50))
+        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
+    result = spans.shared_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {tuple(r) for r in result.pairs().collect()} == {(2 * k, 2 * k + 1) for k in range(60)}
+
+
 def test_blocks_of_a_long_text_pick_alike(monkeypatch):
     order = random.Random(9)
     text = "".join(order.choices("abcdefgh", k=9000))
