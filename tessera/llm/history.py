@@ -1,35 +1,50 @@
 """New uploads against everything accepted before (problem 3).
 
-Method: multi-key sorted-neighbourhood runs. Each upload enters the order once
-per key: its content hash, and bands of minimum hashes of its three-word
-shingles, so that near-duplicates stand beside each other under some key. The
-keys of accepted uploads are kept as sorted runs; a batch is sorted, merged
-into them and compared only within the windows around its own keys, equal key
-and a length that allows a match. Runs are compacted periodically.
+Method: multi-key sorted-neighbourhood runs. An upload enters one order several
+times. Each of its text keys reads three words from an anchor in the text and
+three from a second one (anchors are the places of least hash, so that
+near-copies choose the same); keys are compared word by word, and equal words
+lie in the order of the texts' lengths. The neighbourhood of a new upload under
+a key is thus one stretch of the order: the same six words, and the lengths
+from a tenth shorter to a tenth longer. A content hash is a key of its own.
+
+The keys of accepted uploads are kept as sorted runs, cut into range files with
+small pages. A batch is sorted, merged against the ranges its keys fall in and
+compared within the windows around them only; what is accepted becomes a new
+run, and runs of one tier are merged into one of the next when enough have
+gathered. Texts lie sorted by id and only the pages of those to be compared are
+read. A manifest names all that counts; the store can be opened again by
+another process and takes the next batch from there.
 
 Texts are compared exactly: word edit distance, bit-parallel. A pair within the
 limit shares at least half its shingles even if its changes lie as far apart as
-they can; ``BANDS`` bands of two then miss it with a chance of 1 in 4,000, and
-pairs that differ in every twentieth word with a chance below 1e-8.
+they can; ``BANDS`` keys of two anchors then miss it with a chance of 1 in
+4,000, and pairs that differ in every twentieth word with a chance below 1e-8.
+Keys depend on no other text and on no sample.
 
 History holds accepted uploads only, so that a group of copies, however large,
 is one entry. Within a batch a crowded window is compared with its first
 upload only, and what that leaves undecided goes through the loop again,
 with a wider notion of crowded each turn. An upload of a crowded window that is
 found to be a repeat is named by a last comparison with all accepted ones.
+
+Uploads of a batch are taken by id. Between batches ids say nothing: an upload
+is compared with all that was accepted before, whatever its id.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import json
 import re
+import uuid
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from tessera.functions.arrow import pieces
@@ -39,22 +54,36 @@ from tessera.session import remove, scratch_dir
 
 #: A match may change this share of the words of the longer text.
 TOLERANCE = 0.1
-#: Bands of two minimum hashes, and the words of a shingle.
+#: Keys of two anchors each, and the words read at an anchor.
 BANDS, SHINGLE = 24, 3
+#: Bits that stand for a word in a key; six words and the flag of a hash make 61.
+WORD_BITS = 10
 #: Uploads in a window of one batch from which only the first of its key is
 #: compared, and by how much that grows with each turn: copies are gone after
 #: the first, and what only shares phrases is compared in full after a few.
 CROWD, CROWD_GROWTH = 200, 4
 #: Uploads of one key that are held to find its windows.
 HELD = 50_000
-#: Runs merged into one when so many have gathered.
+#: Runs of one tier merged into one of the next.
 COMPACT_EVERY = 8
+#: Entries in a range file, and in a page of one.
+RANGE_ROWS, RUN_PAGE = 4_000_000, 128
+#: Texts in a page of the stored records.
+RECORD_PAGE = 8
 #: Uploads for which a batch is written by one task more.
 BATCH_ROWS = 100_000
 #: Rows of keys or pairs, some 24 bytes each, up to which they are broadcast,
 #: and matches of a batch up to which they are settled on the driver; beyond it
 #: the same is done by shuffles.
 KEY_ROWS, SMALL_ROWS = 1_000_000, 200_000
+#: Intervals a read is narrowed to around the keys or ids looked up, where their
+#: pages are less than an eighth of what is stored. It only decides what is skipped.
+INTERVALS = 128
+#: Keys of a batch, entries of the runs and pairs up to which one task does a
+#: step without a shuffle.
+TASK_KEYS, TASK_ENTRIES, TASK_PAIRS = 50_000, 1_000_000, 400
+#: Ids written into a condition; more are joined.
+LISTED = 2000
 
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, size=(2, BANDS * 2), dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -131,8 +160,8 @@ def _edits(a: list, b: list, limit: int) -> int:
     return distance
 
 
-def shingles(tokens: np.ndarray) -> np.ndarray:
-    """The distinct shingles of a text; a shorter text is one as a whole."""
+def grams_of(tokens: np.ndarray) -> np.ndarray:
+    """A hash of the shingle at each place; a shorter text has one as a whole."""
     t = tokens.astype(np.uint64)
     if t.size < SHINGLE:
         return np.array([np.bitwise_xor.reduce((t + np.uint64(7)) * _MIX)], np.uint64)
@@ -140,21 +169,29 @@ def shingles(tokens: np.ndarray) -> np.ndarray:
     for k in range(SHINGLE):
         grams = (grams + t[k : k + grams.size] + np.uint64(1)) * _MIX
         grams ^= grams >> np.uint64(29)
-    return np.unique(grams)
+    return grams
 
 
-def band_keys(tokens: np.ndarray) -> list[int]:
-    """A key per band, never negative; equal for texts whose two minimum hashes
-    are equal. Keys of hashes are negative. They are made of all shingles of
-    this text and depend on no other."""
-    grams = shingles(tokens)
+def sort_keys(tokens: np.ndarray) -> list[int]:
+    """The text keys: the words at two anchors each, as numbers that stand in
+    the order of those words. They are even; keys of hashes are odd."""
+    grams, places = np.unique(grams_of(tokens), return_index=True)
     least = np.full(BANDS * 2, np.uint64(0xFFFFFFFFFFFFFFFF))
+    anchors = np.zeros(BANDS * 2, np.int64)
     for at in range(0, grams.size, 4096):
         block = grams[at : at + 4096, None] * _SEEDS[0] + _SEEDS[1]
         block ^= block >> np.uint64(31)
-        np.minimum(least, (block * _MIX).min(axis=0), out=least)
-    pairs = (least[0::2] * _MIX + least[1::2]) * _SEEDS[0][:BANDS] + np.arange(BANDS, dtype=np.uint64)
-    return (pairs >> np.uint64(1)).astype(np.int64).tolist()
+        block *= _MIX
+        own = block.argmin(axis=0)
+        value = block[own, np.arange(BANDS * 2)]
+        lower = value < least
+        least[lower], anchors[lower] = value[lower], places[at + own[lower]]
+    codes = np.zeros(tokens.size + SHINGLE, np.int64)
+    codes[: tokens.size] = tokens >> np.uint32(32 - WORD_BITS)
+    read = np.zeros(BANDS * 2, np.int64)
+    for k in range(SHINGLE):
+        read = read << WORD_BITS | codes[anchors + k]
+    return np.unique((read[0::2] << WORD_BITS * SHINGLE | read[1::2]) << 1).tolist()
 
 
 def _hashed_words(chunks: DataFrame) -> DataFrame:
@@ -194,7 +231,8 @@ def _digests(raw):
     return raw.map(digest_of, na_action="ignore")
 
 
-PREPARED = "batch_no int, upload_id bigint, digest string, n_words int, words binary, keys array<bigint>"
+RECORDS = "upload_id bigint, digest string, n_words int, words binary, keys array<bigint>"
+PREPARED = f"batch_no int, {RECORDS}"
 
 
 def prepare_uploads(uploads: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -205,192 +243,321 @@ def prepare_uploads(uploads: DataFrame, chunks: DataFrame) -> DataFrame:
         uploads.filter("upload_id is not null").select(F.coalesce(F.col("batch_no"), F.lit((1 << 31) - 1)).alias("batch_no"), F.col("upload_id").cast("bigint").alias("upload_id"), "document_id", _digests("content_hash").alias("digest"))
         .dropDuplicates(["upload_id"])
     )
-
-    def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [_in_order(parts) for parts in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(data, pa.binary())], names=["batch_no", "upload_id", "digest", "words"])
-
     joined = up.join(_hashed_words(chunks), "document_id", "left").select("batch_no", "upload_id", "digest", "parts")
-    records = joined.mapInArrow(join_parts, "batch_no int, upload_id bigint, digest string, words binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys = [], []
-            for digest, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = band_keys(np.frombuffer(data, np.uint32)) if data else []
+        for batch in pieces(batches):
+            sizes, keys, texts = [], [], []
+            for digest, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                data = _in_order(parts)
+                own = sort_keys(np.frombuffer(data, np.uint32)) if data else []
                 if digest:
                     head = digest.encode()
-                    own.append((crc32(head) << 31 | crc32(head[::-1]) & 0x7FFFFFFF) - (1 << 63))
+                    own.append((crc32(head) << 31 | crc32(head[::-1]) & 0x7FFFFFFF) << 1 & 0x7FFFFFFFFFFFFFFF | 1)
                 sizes.append(len(data) // 4)
                 keys.append(own)
+                texts.append(data)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in range(3)] + [pa.array(sizes, pa.int32()), batch.column(3), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(k) for k in range(3)] + [pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["batch_no", "upload_id", "digest", "n_words", "words", "keys"],
             )
 
-    return records.mapInArrow(run, PREPARED)
+    return joined.mapInArrow(run, PREPARED)
 
 
-RUN = "key bigint, n_words int, upload_id bigint"
+RUN = "key bigint, n_words int, upload_id bigint, batch_no int"
 PAIRS = "a bigint, b bigint"
+#: a with the batch it lies in, null for an upload that has to wait.
+CANDIDATES = "a bigint, a_batch int, b bigint"
+
+
+def intervals(values: list[int], most: int = INTERVALS) -> list[tuple[int, int]]:
+    """At most ``most`` intervals that hold all values, open at the widest gaps."""
+    at = np.unique(np.asarray(values, np.int64))
+    if not at.size:
+        return []
+    cuts = np.sort(np.argsort(at[1:] - at[:-1], kind="stable")[::-1][: most - 1])
+    begins, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [at.size - 1]))
+    return [(int(at[a]), int(at[b])) for a, b in zip(begins, ends)]
+
+
+def _near(column: str, values: list[int]) -> str:
+    """A condition the scan can skip pages by: within an interval around the values."""
+    return " OR ".join(f"({column} >= {a} AND {column} <= {b})" for a, b in intervals(values)) or "false"
+
+
+def _few(n_lookups: int, page: int, n_stored: int) -> bool:
+    return n_lookups <= 4 * INTERVALS and n_lookups * page * 8 < n_stored
+
+
+class _Files:
+    """Small files of the store through Hadoop's file system API."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.jvm, self.folder = spark.sparkContext._jvm, folder
+        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def write(self, name: str, text: str) -> None:
+        """Written under another name first, so that no reader sees a part."""
+        draft = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
+        out = self.fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self.fs.rename(draft, self.path(name)):
+            raise RuntimeError(f"{name} was written by another process")
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def names(self, name: str) -> list[str]:
+        if not self.fs.exists(self.path(name)):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name)))
 
 
 class UploadHistory:
-    """Accepted uploads under one folder: sorted runs of their keys (key,
-    n_words, upload_id) and the pairs of those rejected. ``prepared`` is the
-    table all batches come from, as ``prepare_uploads`` makes it; texts are
-    read from it only for the pairs to be compared.
+    """Accepted uploads under one folder.
+
+    ``records/batch_no=N`` holds the texts of each batch, sorted by id, ``runs``
+    the sorted keys of accepted uploads (key, n_words, upload_id, batch_no),
+    ``rejected`` the pairs of the others, ``manifest`` the state after each
+    batch. ``stage`` writes the records of new batches, ``ingest`` takes one in.
+    A store opened again goes on after the last batch its manifest names; what
+    an interrupted batch left behind counts for nothing.
     """
 
-    def __init__(self, prepared: DataFrame, folder: str, tolerance: float = TOLERANCE, compact_every: int = COMPACT_EVERY) -> None:
-        self.spark, self.prepared, self.folder = prepared.sparkSession, prepared, folder
+    def __init__(self, spark: SparkSession, folder: str, tolerance: float = TOLERANCE, compact_every: int = COMPACT_EVERY, range_rows: int = RANGE_ROWS) -> None:
+        self.spark, self.folder, self.range_rows = spark, folder, range_rows
+        self.files = _Files(spark, folder)
+        mine = {"tolerance": tolerance, "compact_every": compact_every, "bands": BANDS, "shingle": SHINGLE, "word_bits": WORD_BITS}
+        versions = [n for n in self.files.names("manifest") if n.endswith(".json")]
+        self.state = json.loads(self.files.read(f"manifest/{versions[-1]}")) if versions else {"keys": mine, "version": 0, "batches": [], "runs": [], "rejected": [], "steps": 0, "taken": 0}
+        if self.state["keys"] != mine:
+            raise ValueError(f"this store was made with other parameters: {self.state['keys']}")
         self.tolerance, self.compact_every = tolerance, compact_every
-        self.runs: list[str] = []
-        self.rejected: list[str] = []
-        self.steps = 0
+
+    def _commit(self) -> None:
+        self.state["version"] += 1
+        self.files.write(f"manifest/{self.state['version']:08d}.json", json.dumps(self.state))
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _records(self, batches: list[int]) -> DataFrame:
+        """The records of some batches; only their folders are read."""
+        paths = [f"{self.folder}/records/batch_no={b}" for b in sorted(set(batches))]
+        if not paths:
+            return self.spark.createDataFrame([], PREPARED)
+        return self.spark.read.schema(f"{RECORDS}, batch_no int").option("basePath", f"{self.folder}/records").parquet(*paths)
+
     def rejections(self) -> DataFrame:
         """upload_id_a (accepted, the smallest that b repeats) and upload_id_b."""
-        return self._read(self.rejected, "upload_id_a bigint, upload_id_b bigint")
+        schema = "upload_id_a bigint, upload_id_b bigint"
+        paths = self.state["rejected"]
+        return self.spark.read.schema(schema).csv(paths) if paths else self.spark.createDataFrame([], schema)
 
     def accepted(self) -> DataFrame:
-        out = self.rejections().select(F.col("upload_id_b").alias("upload_id"))
-        return self.prepared.select("upload_id").join(out, "upload_id", "left_anti")
-
-    def ingest(self, batch_no: int, n_rows: int) -> None:
-        """Take in one batch: compare it with history and itself, add the keys
-        of what is accepted to the runs and record what is rejected."""
-        pending = self.prepared.filter(F.col("batch_no") == batch_no)
-        so_far = self.prepared.filter(F.col("batch_no") <= batch_no)
-        crowd, nameless = CROWD, []
+        """upload_id of all that was accepted."""
+        taken = self._records(self.state["batches"]).select("upload_id").distinct()
+        return taken.join(self.rejections().select(F.col("upload_id_b").alias("upload_id")), "upload_id", "left_anti")
+
+    def stage(self, uploads: DataFrame, chunks: DataFrame) -> dict[int, int]:
+        """Write the records of these uploads under their batches and give the
+        number of uploads in each. A batch staged again replaces the former
+        staging; one already taken in is refused."""
+        sizes = uploads.filter("upload_id is not null").groupBy(F.coalesce("batch_no", F.lit((1 << 31) - 1)).alias("batch_no")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if late := sorted({r["batch_no"] for r in sizes} & set(self.state["batches"])):
+            raise ValueError(f"already taken in: {late}")
+        if not sizes:
+            return {}
+        parts = 1 + max(r["n"] for r in sizes) // BATCH_ROWS  # a large batch is written by several tasks
+        spread = prepare_uploads(uploads, chunks).repartition("batch_no", F.pmod(F.xxhash64("upload_id"), F.lit(parts)))
+        out = spread.sortWithinPartitions("batch_no", "upload_id").write.mode("overwrite").partitionBy("batch_no")
+        out.option("partitionOverwriteMode", "dynamic").option("parquet.page.row.count.limit", RECORD_PAGE).parquet(f"{self.folder}/records")
+        return {r["batch_no"]: r["n"] for r in sizes}
+
+    def ingest(self, batch_no: int, n_rows: int | None = None) -> None:
+        """Take in one staged batch: compare it with history and itself, add the
+        keys of what is accepted as a run and record what is rejected. A batch
+        that is already in is left alone. An upload that came in an earlier
+        batch as well is neither accepted nor rejected again. ``n_rows`` may be
+        more than the batch holds."""
+        if batch_no in self.state["batches"]:
+            return
+        here = f"{self.folder}/work/{batch_no}-{uuid.uuid4().hex[:8]}"
+        past = [r["path"] for r in self.state["runs"]]
+        pending = self._records([batch_no]).select("upload_id", "batch_no", "n_words", "keys")
+        n_rows = pending.count() if n_rows is None else n_rows
+        self.state["taken"] += n_rows
+        own_runs: list[dict] = []
+        crowd, nameless, turn = CROWD, [], 0
         while n_rows:
-            self.steps += 1
-            here = f"{self.folder}/step={self.steps:06d}"
-            wait, repeats = self._step(pending, so_far, n_rows, crowd, here)
+            wait, repeats = self._turn(batch_no, pending, past if turn == 0 else [r["path"] for r in own_runs], n_rows, crowd, f"{here}/{turn}", own_runs)
             nameless += [repeats] if repeats else []
             if wait is None:
                 break
             pending = pending.join(self._read([wait], "upload_id bigint"), "upload_id", "left_semi").select(*pending.columns)
-            pending.write.parquet(f"{here}/later")
-            pending = self.spark.read.parquet(f"{here}/later")
+            pending.write.parquet(f"{here}/{turn}/later")
+            pending = self.spark.read.parquet(f"{here}/{turn}/later")
             remaining = pending.count()
-            if remaining >= n_rows:
+            if remaining >= n_rows and turn:
                 raise RuntimeError("no progress")
-            n_rows, crowd = remaining, crowd * CROWD_GROWTH
+            n_rows, crowd, turn = remaining, crowd * CROWD_GROWTH, turn + 1
+        self.state["runs"] += own_runs
         if nameless:
-            self._name(batch_no, so_far, nameless)
-        if len(self.runs) >= self.compact_every:
-            self.compact()
-
-    def _met(self, keys: DataFrame) -> DataFrame:
-        """Pairs with accepted uploads: the window around a key is equal key and
-        a length that allows a match; lengths say nothing where the key is that
-        of a hash."""
-        apart = F.abs(F.col("n_words") - F.col("n")) <= F.greatest("n_words", "n") * self.tolerance + 1e-9
-        met = self._read(self.runs, RUN).join(keys, "key").filter(((F.col("key") < 0) | apart) & (F.col("upload_id") < F.col("b")))
-        return met.select(F.col("upload_id").alias("a"), "b")
-
-    def _name(self, batch_no: int, so_far: DataFrame, nameless: list[str]) -> None:
+            self._name(batch_no, past + [r["path"] for r in own_runs], nameless, here)
+        self.state["batches"].append(batch_no)
+        merged = self.compact()
+        self._commit()
+        for old in [here, *merged]:
+            remove(self.spark, old)
+
+    def _met(self, runs: list[str], keys: DataFrame, n_rows: int) -> DataFrame:
+        """Pairs with accepted uploads: the window around a key is the stretch
+        of the order with the same words and a length that allows a match;
+        lengths say nothing where the key is that of a hash. Where the batch has
+        few keys the scan skips the pages they don't fall in."""
+        entries = self._read(runs, RUN)
+        if _few(n_rows * (BANDS + 1), RUN_PAGE, sum(r["rows"] for r in self.state["runs"])):
+            entries = entries.filter(_near("key", [r["key"] for r in keys.select("key").distinct().collect()]))
+        hint = F.broadcast if n_rows * (BANDS + 1) <= KEY_ROWS else (lambda df: df)
+        longest = F.greatest("n_words", "n") * self.tolerance + 1e-9
+        met = entries.join(hint(keys.select("key", "n", "b")), "key").filter((F.col("key").bitwiseAND(1) == 1) | (F.abs(F.col("n_words") - F.col("n")) <= longest))
+        return met.select(F.col("upload_id").alias("a"), F.col("batch_no").alias("a_batch"), "b")
+
+    def _turn(self, batch_no: int, pending: DataFrame, runs: list[str], n_rows: int, crowd: int, here: str, own_runs: list[dict]) -> tuple[str | None, str | None]:
+        """One comparison of all that is pending; the paths of what must wait and
+        of what is rejected but not yet named."""
+        keys = pending.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"), "batch_no")
+        small = n_rows * (BANDS + 1) <= TASK_KEYS
+        sorted_keys = keys.coalesce(1) if small else keys.repartition("key")
+        inside = sorted_keys.sortWithinPartitions("key", "b").mapInArrow(_neighbours(self.tolerance, crowd, batch_no), CANDIDATES)
+        candidates = inside
+        if runs:
+            candidates = candidates.unionByName(self._met(runs, keys, n_rows))
+        if small and sum(r["rows"] for r in self.state["runs"]) <= TASK_ENTRIES:
+            candidates = candidates.coalesce(1)
+        seen = Observation()
+        candidates.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").isNull()).alias("waiting"), F.collect_set("a_batch").alias("batches")).write.parquet(f"{here}/candidates")
+        rejected: list[tuple[int, int]] | str = []
+        known: list[int] | str = []
+        undecided: list[int] | str = []
+        nameless: list[int] | str = []
+        if n_pairs := seen.get["n"]:
+            pairs = self._read([f"{here}/candidates"], CANDIDATES)
+            waiting = pairs.filter("a is null").select("b").distinct() if seen.get["waiting"] else None
+            matched = self._verify(pairs.filter("a is not null"), [*seen.get["batches"], batch_no], n_pairs)
+            if n_pairs <= SMALL_ROWS:
+                found = [(r["a"], r["a_batch"], r["b"]) for r in matched.collect()]
+                held = {r["b"] for r in waiting.collect()} if waiting is not None else set()
+                rejected, known, undecided, nameless = settle_batch(found, held, batch_no)
+            else:
+                matched.write.parquet(f"{here}/matched")
+                rejected, known, undecided, nameless = self._settle_widely(self._read([f"{here}/matched"], CANDIDATES), waiting, batch_no, here)
+        keep, listed = pending, []
+        for out, column in ((rejected, "upload_id_b"), (known, "upload_id"), (undecided, "upload_id"), (nameless, "upload_id")):
+            if isinstance(out, str):
+                ids = self.spark.read.schema("upload_id_a bigint, upload_id_b bigint").csv(out) if column == "upload_id_b" else self._read([out], "upload_id bigint")
+                keep = keep.join(ids.select(F.col(column).alias("upload_id")).distinct(), "upload_id", "left_anti")
+            else:
+                listed += [x[1] for x in out] if column == "upload_id_b" else out or []
+        if len(listed) <= LISTED:
+            keep = keep.filter(f"upload_id NOT IN ({', '.join(map(str, listed))})") if listed else keep
+        else:
+            keep = keep.join(F.broadcast(self.spark.createDataFrame([(x,) for x in listed], "upload_id bigint")), "upload_id", "left_anti")
+        own_runs.append(self._write_run(keep.select(F.explode("keys").alias("key"), "n_words", "upload_id", "batch_no"), n_rows * (BANDS + 1), 0))
+        if isinstance(rejected, str):
+            self.state["rejected"].append(rejected)
+        elif rejected:
+            name = f"rejected/{self.state['steps']:08d}-{uuid.uuid4().hex[:8]}.csv"
+            self.files.write(name, "".join(f"{a},{b}\n" for a, b in rejected))
+            self.state["rejected"].append(f"{self.folder}/{name}")
+        paths = []
+        for out, name in ((undecided, "undecided"), (nameless, "nameless")):
+            if not isinstance(out, str) and out:
+                self.spark.createDataFrame([(x,) for x in out], "upload_id bigint").coalesce(1).write.parquet(f"{here}/{name}")
+                out = f"{here}/{name}"
+            paths.append(out or None)
+        return paths[0], paths[1]
+
+    def _write_run(self, entries: DataFrame, n_rows: int, tier: int) -> dict:
+        """Entries in order, in range files of about ``range_rows``."""
+        self.state["steps"] += 1
+        path = f"{self.folder}/runs/{self.state['steps']:08d}-{uuid.uuid4().hex[:8]}"
+        n_files = -(-n_rows // self.range_rows)
+        ranged = entries.coalesce(1) if n_files <= 1 else entries.repartitionByRange(n_files, "key", "n_words")
+        seen = Observation()
+        ranged.sortWithinPartitions("key", "n_words").observe(seen, F.count(F.lit(1)).alias("n")).write.option("parquet.page.row.count.limit", RUN_PAGE).parquet(path)
+        return {"path": path, "tier": tier, "rows": seen.get["n"]}
+
+    def _name(self, batch_no: int, runs: list[str], nameless: list[str], here: str) -> None:
         """The smallest accepted upload each of these repeats. They have seen
         the first upload of a crowded window only, but all that are accepted
         are in the runs by now, and those that share a key are compared."""
-        here = f"{self.folder}/step={self.steps:06d}"
         them = self._read(nameless, "upload_id bigint")
-        hint = F.broadcast if them.count() * (BANDS + 1) <= KEY_ROWS else (lambda df: df)
-        late = self.prepared.filter(F.col("batch_no") == batch_no).join(them, "upload_id", "left_semi")
+        late = self._records([batch_no]).join(them, "upload_id", "left_semi")
         keys = late.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"))
         seen = Observation()
-        self._met(hint(keys)).distinct().observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{here}/all_met")
-        matched = self._verify(self._read([f"{here}/all_met"], PAIRS), so_far, seen.get["n"])
-        matched.groupBy("b").agg(F.min("a").alias("a")).select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b")).write.parquet(f"{here}/named")
-        self.rejected.append(f"{here}/named")
-
-    def _step(self, pending: DataFrame, so_far: DataFrame, n_rows: int, crowd: int, here: str) -> tuple[str | None, str | None]:
-        """One comparison of all that is pending; the paths of what must wait and
-        of what is rejected but not yet named."""
-        hint = F.broadcast if n_rows * (BANDS + 1) <= KEY_ROWS else (lambda df: df)
-        keys = pending.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"))
-        sides = [keys.repartition("key").sortWithinPartitions("key", "b").mapInArrow(_neighbours(self.tolerance, crowd), PAIRS)]
-        if self.runs:
-            sides.append(self._met(hint(keys)))
-        candidates = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
-        seen = Observation()
-        candidates.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").isNull()).alias("waiting")).write.parquet(f"{here}/candidates")
-        rejected = undecided = nameless = None
-        if n_pairs := seen.get["n"]:
-            pairs = self._read([f"{here}/candidates"], PAIRS)
-            waiting = pairs.filter("a is null").select("b") if seen.get["waiting"] else None
-            found = Observation()
-            self._verify(pairs.filter("a is not null"), so_far, n_pairs).observe(found, F.count(F.lit(1)).alias("n")).write.parquet(f"{here}/matched")
-            n_matched = found.get["n"]
-            if n_matched or waiting is not None:
-                matched = self._read([f"{here}/matched"], PAIRS)
-                rejected, undecided, nameless = self._settle(matched, waiting, n_matched + seen.get["waiting"], here)
-        keep = pending
-        for path, schema in ((rejected, "upload_id_a bigint, upload_id_b bigint"), (undecided, "upload_id bigint"), (nameless, "upload_id bigint")):
-            if path:
-                out = self._read([path], schema)
-                keep = keep.join(hint(out.select(F.col(out.columns[-1]).alias("upload_id"))), "upload_id", "left_anti")
-        keep.select(F.explode("keys").alias("key"), "n_words", "upload_id").sortWithinPartitions("key", "n_words").write.parquet(f"{here}/run")
-        self.runs.append(f"{here}/run")
-        if rejected:
-            self.rejected.append(rejected)
-        return undecided, nameless
-
-    def _verify(self, pairs: DataFrame, so_far: DataFrame, n_pairs: int) -> DataFrame:
-        """The pairs that do match. The records of both uploads of a pair are
-        brought together by one shuffle of the records concerned."""
+        met = self._met(runs, keys, them.count()).filter((F.col("a_batch") != batch_no) | (F.col("a") < F.col("b"))).distinct()
+        met.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set("a_batch").alias("batches")).write.parquet(f"{here}/all_met")
+        matched = self._verify(self._read([f"{here}/all_met"], CANDIDATES), [*seen.get["batches"], batch_no], seen.get["n"])
+        path = f"{self.folder}/rejected/{self.state['steps']:08d}-{uuid.uuid4().hex[:8]}-named"
+        matched.groupBy("b").agg(F.min("a").alias("a")).select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b")).write.csv(path)
+        self.state["rejected"].append(path)
+
+    def _verify(self, pairs: DataFrame, batches: list[int], n_pairs: int) -> DataFrame:
+        """The pairs that do match. Of the batches concerned (the one taken
+        in comes last) the pages with the texts of these uploads are read, and both of a pair are brought together
+        by one shuffle of them."""
+        records = self._records(batches).select("upload_id", "batch_no", "digest", "words")
         hint = F.broadcast if n_pairs <= KEY_ROWS else (lambda df: df)
-        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("upload_id"))
-        records = so_far.select("upload_id", "digest", "words").join(hint(ends), "upload_id")
+        if _few(n_pairs, RECORD_PAGE, self.state["taken"]):
+            records = records.filter(_near("upload_id", [x for r in pairs.select("a", "b").collect() for x in r]))
+        ends = pairs.select("a", "a_batch", "b", F.explode(F.array(F.struct(F.col("a").alias("upload_id"), F.col("a_batch").alias("batch_no"), F.lit(0).alias("side")), F.struct(F.col("b").alias("upload_id"), F.lit(batches[-1]).alias("batch_no"), F.lit(1).alias("side")))).alias("end"))
+        joined = records.join(hint(ends.select("a", "a_batch", "b", "end.*")), ["upload_id", "batch_no"])
         tolerance = self.tolerance
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             half = None
             for batch in batches:
                 keep = []
-                for a, b, digest, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                    if half is None or half[:2] != (a, b):
-                        half = (a, b, digest, data)
+                for a, a_batch, b, digest, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                    if half is None or half[:3] != (a, a_batch, b):
+                        half = (a, a_batch, b, digest, data)
                         continue
-                    if half[2] and half[2] == digest:
-                        keep.append((a, b))
+                    if half[3] and half[3] == digest:
+                        keep.append((a, a_batch, b))
                     else:
-                        x, y = np.frombuffer(half[3], np.uint32), np.frombuffer(data, np.uint32)
+                        x, y = np.frombuffer(half[4], np.uint32), np.frombuffer(data, np.uint32)
                         if x.size and y.size and within(x, y, int(max(x.size, y.size) * tolerance + 1e-9)):
-                            keep.append((a, b))
+                            keep.append((a, a_batch, b))
                     half = None
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        return records.select("a", "b", "digest", "words").repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, PAIRS)
-
-    def _settle(self, matched: DataFrame, waiting: DataFrame | None, n_rows: int, here: str) -> tuple[str | None, str | None, str | None]:
-        """Who is rejected, who must wait, and who is rejected but not yet named,
-        as paths: in the order of ids an upload is accepted unless it matches an
-        accepted one. Uploads of a crowded window, and those that match one not
-        yet decided, wait; the former aren't named yet when they are rejected."""
-        if n_rows > SMALL_ROWS:
-            return self._settle_widely(matched, waiting, here)
-        pairs = [(r["a"], r["b"]) for r in matched.collect()]
-        held = {r["b"] for r in waiting.collect()} if waiting is not None else set()
-        repeats, waits = settle(pairs, held)
-        named, nameless = [(a, b) for a, b in repeats if b not in held], [(b,) for _, b in repeats if b in held]
-        out = []
-        for name, data, schema in (("rejected", named, "upload_id_a bigint, upload_id_b bigint"), ("undecided", [(w,) for w in waits], "upload_id bigint"), ("nameless", nameless, "upload_id bigint")):
-            if data:
-                self.spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{here}/{name}")
-            out.append(f"{here}/{name}" if data else None)
-        return out[0], out[1], out[2]
-
-    def _settle_widely(self, matched: DataFrame, waiting: DataFrame | None, here: str) -> tuple[str, str | None, str | None]:
-        """The same by joins: again and again those are struck whose least match
-        not yet struck is accepted, as it matches nothing open and doesn't wait."""
-        waiting = (waiting if waiting is not None else matched.select("b").limit(0)).distinct()
-        pairs, verdicts, turn = matched.select("a", "b"), [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["a", "a_batch", "b"])
+
+        joined = joined.select("a", "a_batch", "b", "digest", "words", "side")
+        together = joined.coalesce(1) if n_pairs <= TASK_PAIRS else joined.repartition("a", "b")
+        return together.sortWithinPartitions("a", "a_batch", "b", "side").select("a", "a_batch", "b", "digest", "words").mapInArrow(run, CANDIDATES)
+
+    def _settle_widely(self, matched: DataFrame, waiting: DataFrame | None, batch_no: int, here: str) -> tuple[str, str | None, str | None, str | None]:
+        """``settle_batch`` by joins: what history has is settled at once; of the
+        rest again and again those are struck whose least match not yet struck
+        is accepted, as it matches nothing open and doesn't wait."""
+        old = matched.filter(F.col("a_batch") != batch_no)
+        old.filter("a = b").select(F.col("b").alias("upload_id")).distinct().write.parquet(f"{here}/known")
+        known = self._read([f"{here}/known"], "upload_id bigint")
+        old.join(known.select(F.col("upload_id").alias("b")), "b", "left_anti").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").write.parquet(f"{here}/from_history")
+        decided = self._read([f"{here}/from_history"], PAIRS)
+        gone = decided.select("b").unionByName(known.select(F.col("upload_id").alias("b"))).distinct()
+        waiting = (waiting if waiting is not None else matched.select("b").limit(0)).distinct().join(gone, "b", "left_anti")
+        pairs = matched.filter(F.col("a_batch") == batch_no).select("a", "b").join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
+        verdicts, turn = [], 0
         while True:
             pairs.write.parquet(path := f"{here}/open{turn}")
             pairs = self._read([path], PAIRS)
@@ -401,27 +568,53 @@ class UploadHistory:
             if struck.isEmpty():
                 break
             verdicts.append(path)
-            gone = struck.select("b")
-            pairs = pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
+            off = struck.select("b")
+            pairs = pairs.join(off, "b", "left_anti").join(off.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
             turn += 1
         struck = self._read(verdicts, PAIRS)
-        struck.join(waiting, "b", "left_anti").select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b")).write.parquet(f"{here}/rejected")
+        path = f"{self.folder}/rejected/{self.state['steps']:08d}-{uuid.uuid4().hex[:8]}-wide"
+        decided.unionByName(struck.join(waiting, "b", "left_anti").select("a", "b")).select(F.col("a").alias("upload_id_a"), F.col("b").alias("upload_id_b")).write.csv(path)
         struck.join(waiting, "b", "left_semi").select(F.col("b").alias("upload_id")).write.parquet(f"{here}/nameless")
         left = pairs.select("b").unionByName(waiting).distinct().join(struck.select("b"), "b", "left_anti")
         left.select(F.col("b").alias("upload_id")).write.parquet(f"{here}/undecided")
-        undecided, nameless = (None if self._read([path], "upload_id bigint").isEmpty() else path for path in (f"{here}/undecided", f"{here}/nameless"))
-        return f"{here}/rejected", undecided, nameless
-
-    def compact(self) -> None:
-        """Merge all runs into one, sorted by key range."""
-        path = f"{self.folder}/run-{self.steps:06d}"
-        self._read(self.runs, RUN).repartitionByRange("key").sortWithinPartitions("key", "n_words").write.parquet(path)
-        merged, self.runs = self.runs, [path]
-        for old in merged:
-            remove(self.spark, old)
-
-
-def _neighbours(tolerance: float, crowd: int):
+        rest = [None if self._read([p], "upload_id bigint").isEmpty() else p for p in (f"{here}/known", f"{here}/undecided", f"{here}/nameless")]
+        return path, rest[0], rest[1], rest[2]
+
+    def compact(self) -> list[str]:
+        """Merge the runs of a tier that is full into one of the next tier, in
+        order of its key ranges; the paths that no longer count. An entry is
+        thus written again once per tier, not once per batch."""
+        merged: list[str] = []
+        tier = 0
+        while any(r["tier"] >= tier for r in self.state["runs"]):
+            own = [r for r in self.state["runs"] if r["tier"] == tier]
+            if len(own) >= self.compact_every:
+                whole = self._write_run(self._read([r["path"] for r in own], RUN), sum(r["rows"] for r in own), tier + 1)
+                self.state["runs"] = [r for r in self.state["runs"] if r["tier"] != tier] + [whole]
+                merged += [r["path"] for r in own]
+            tier += 1
+        return merged
+
+
+def settle_batch(matches: list[tuple[int, int, int]], waiting: set[int], batch_no: int) -> tuple[list[tuple[int, int]], list[int], list[int], list[int]]:
+    """(a, b) of the rejected, those known from an earlier batch, those
+    undecided and those rejected but not yet named, from the pairs that match
+    (a, the batch of a, b). What is in history is accepted: its matches are
+    settled at once, under the smallest id. The others are settled within the
+    batch; those rejected there while they wait aren't named yet."""
+    first: dict[int, int] = {}
+    known = {b for a, batch, b in matches if a == b and batch != batch_no}
+    for a, batch, b in matches:
+        if batch != batch_no and b not in known:
+            first[b] = min(a, first.get(b, a))
+    gone = known | set(first)
+    inside = [(a, b) for a, batch, b in matches if batch == batch_no and a not in gone and b not in gone]
+    repeats, undecided = settle(inside, waiting - gone)
+    named = [(a, b) for b, a in first.items()] + [(a, b) for a, b in repeats if b not in waiting]
+    return sorted(named), sorted(known), undecided, sorted(b for _, b in repeats if b in waiting)
+
+
+def _neighbours(tolerance: float, crowd: int, batch_no: int):
     """Pairs within the windows of one batch, from its keys in order (key, n, b):
     equal key, and a length that allows a match. Where a window of a key holds
     more than ``crowd`` its first upload alone is paired with the others, and
@@ -430,7 +623,7 @@ def _neighbours(tolerance: float, crowd: int):
     at_once, held = 100_000, max(HELD, crowd + 2)
 
     def pairs(key: int, members: list[tuple[int, int]]) -> Iterator[list[tuple[int | None, int]]]:
-        by_length = sorted(members) if key >= 0 else [(0, b) for _, b in members]
+        by_length = sorted(members) if key & 1 == 0 else [(0, b) for _, b in members]
         begins, begin = [], 0
         for k, (n, b) in enumerate(by_length):
             while n - by_length[begin][0] > n * tolerance + 1e-9:
@@ -447,7 +640,8 @@ def _neighbours(tolerance: float, crowd: int):
         key, members, spilled = None, [], False
 
         def batch_of(out: list[tuple[int | None, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            a, b = (pa.array([p[k] for p in out], pa.int64()) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([a, pa.array([batch_no] * len(out), pa.int32()), b], names=["a", "a_batch", "b"])
 
         for batch in batches:
             out: list[tuple[int | None, int]] = []
@@ -500,18 +694,15 @@ def settle(matches: list[tuple[int, int]], waiting: set[int]) -> tuple[list[tupl
 
 
 def replay_batches(uploads: DataFrame, chunks: DataFrame, folder: str | None = None) -> UploadHistory:
-    """All batches of ``uploads`` in order through a new history.
+    """All batches of ``uploads`` in order through the store in ``folder``, by
+    default a new one.
 
     Null and odd hashes match by what they name; uploads without words match by
     hash only; empty tables give an empty history.
     """
     spark = uploads.sparkSession
-    folder = folder or scratch_dir(spark)
-    parts = 1 + uploads.count() // BATCH_ROWS  # a large batch is written by several tasks
-    spread = prepare_uploads(uploads, chunks).repartition("batch_no", F.pmod(F.xxhash64("upload_id"), F.lit(parts)))
-    spread.write.partitionBy("batch_no").parquet(f"{folder}/prepared")
-    prepared = spark.read.schema(PREPARED).parquet(f"{folder}/prepared")
-    history = UploadHistory(prepared, folder)
-    for r in prepared.groupBy("batch_no").count().orderBy("batch_no").collect():
-        history.ingest(r["batch_no"], r["count"])
+    history = UploadHistory(spark, folder or scratch_dir(spark))
+    sizes = history.stage(uploads, chunks)
+    for batch_no in sorted(sizes):
+        history.ingest(batch_no, sizes[batch_no])
     return history

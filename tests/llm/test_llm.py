@@ -138,7 +138,7 @@ def test_standing_phrases_take_no_pair_its_keys(own, spread):
         at = np.arange(5, n, 10) if spread else np.arange(1, n // 10 * 2, 2)[: int(n * own / 2)]  # within the own part
         b[at] = rng.integers(0, 1 << 31, at.size)
         assert history.within(a, b, n // 10)
-        keys = [set(history.band_keys(t)) for t in (a, b)]
+        keys = [set(history.sort_keys(t)) for t in (a, b)]
         missed += not keys[0] & keys[1]
     assert missed == 0
 
@@ -155,16 +155,108 @@ def test_keys_depend_on_no_other_upload(spark):
 
 def test_settling_widely_is_settling(spark, tmp_path):
     order = random.Random(9)
-    past = history.UploadHistory(spark.createDataFrame([], history.PREPARED), str(tmp_path))
-    cases = [([(10, 15), (15, 20), (20, 60), (50, 60)], set())]
+    past = history.UploadHistory(spark, str(tmp_path))
+    cases = [([(10, 9, 15), (15, 9, 20), (20, 9, 60), (50, 9, 60)], set())]
     for _ in range(3):
-        cases.append((list({tuple(sorted(order.sample(range(1, 25), 2))) for _ in range(25)}), set(order.sample(range(1, 25), 2))))
+        inside = [(*sorted(order.sample(range(1, 25), 2)),) for _ in range(25)]
+        old = [(order.randrange(100, 120), 3, order.randrange(1, 25)) for _ in range(4)] + [(7, 2, 7)]
+        cases.append((list({(a, 9, b) for a, b in inside} | set(old)), set(order.sample(range(1, 25), 2))))
     for k, (matches, held) in enumerate(cases):
-        want, waits = history.settle(matches, held)
-        paths = past._settle_widely(spark.createDataFrame(matches, history.PAIRS), spark.createDataFrame([(h,) for h in held], "b bigint"), f"{tmp_path}/{k}")
-        rejected, undecided, nameless = ([tuple(r) for r in spark.read.parquet(p).collect()] if p else [] for p in paths)
-        assert sorted(rejected) == sorted((a, b) for a, b in want if b not in held)
-        assert sorted(undecided) == [(w,) for w in waits] and sorted(nameless) == sorted((b,) for _, b in want if b in held)
+        want = history.settle_batch(matches, held, 9)
+        past.state["steps"] = k
+        paths = past._settle_widely(spark.createDataFrame(matches, history.CANDIDATES), spark.createDataFrame([(h,) for h in held], "b bigint"), 9, f"{tmp_path}/{k}")
+        rejected = spark.read.schema(history.PAIRS).csv(paths[0]).collect()
+        assert sorted(map(tuple, rejected)) == want[0]
+        for path, ids in zip(paths[1:], want[1:]):
+            assert sorted(r.upload_id for r in spark.read.parquet(path).collect()) == ids if path else ids == []
+
+
+def _uploads(spark, texts, batch_of, hashes=None):
+    uploads = spark.createDataFrame([(k, f"d{k}", batch_of(k), (hashes or {}).get(k)) for k in texts], "upload_id bigint, document_id string, batch_no int, content_hash string")
+    return uploads, spark.createDataFrame([(k, f"d{k}", 1, " ".join(t)) for k, t in texts.items()], "chunk_id bigint, document_id string, chunk_index int, text string")
+
+
+def test_ids_may_fall_from_batch_to_batch(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = {10: base, 5: base[:-2] + ["x", "y"], 3: [f"v{k}" for k in range(60)], 4: base}
+    got = history.replay_batches(*_uploads(spark, texts, {10: 0, 5: 1, 3: 1, 4: 1}.get, {5: "ab", 3: "cd"})).rejections().collect()
+    assert sorted(map(tuple, got)) == [(10, 4), (10, 5)]
+
+
+def test_a_store_is_opened_again(spark, tmp_path):
+    order = random.Random(4)
+    texts = {k: order.choices([f"w{i}" for i in range(300)], k=40) for k in range(1, 41)}
+    for k in range(21, 41, 2):
+        texts[k] = texts[k - 20][:-1] + ["z"]
+    uploads, chunks = _uploads(spark, texts, lambda k: (k - 1) // 10)
+    whole = set(map(tuple, history.replay_batches(uploads, chunks).rejections().collect()))
+    assert len(whole) == 10
+    folder = str(tmp_path / "store")
+    for batch in range(4):  # every batch by a new process, so to speak, that knows the folder only
+        store = history.UploadHistory(spark, folder, compact_every=2)
+        if batch:
+            store.ingest(batch - 1)  # already in
+        staged = store.stage(uploads.filter(f"batch_no = {batch}"), chunks)
+        assert staged == {batch: 10}
+        if batch == 2:  # dies after its work, before the manifest
+            broken = history.UploadHistory(spark, folder, compact_every=2)
+            broken._commit = lambda: (_ for _ in ()).throw(OSError("lost"))
+            with pytest.raises(OSError):
+                broken.ingest(batch)
+            store = history.UploadHistory(spark, folder, compact_every=2)
+        store.ingest(batch)
+    store = history.UploadHistory(spark, folder, compact_every=2)
+    assert set(map(tuple, store.rejections().collect())) == whole and store.accepted().count() == 30
+    assert [r["tier"] for r in store.state["runs"]] == [2]
+    with pytest.raises(ValueError):
+        store.stage(uploads.filter("batch_no = 2"), chunks)
+    with pytest.raises(ValueError):
+        history.UploadHistory(spark, folder, compact_every=3)
+    # an accepted upload that comes again in a later batch is neither
+    again, _ = _uploads(spark, {1: texts[1], 99: texts[2]}, lambda k: 7)
+    store.ingest(7, store.stage(again, chunks.unionByName(spark.createDataFrame([(99, "d99", 1, " ".join(texts[2]))], chunks.schema)))[7])
+    assert set(map(tuple, store.rejections().collect())) == whole | {(2, 99)}
+
+
+@pytest.mark.parametrize("n_batches", [24, 120])
+def test_a_batch_reads_pages_near_its_keys_only(spark, tmp_path, n_batches, monkeypatch):
+    monkeypatch.setattr(history, "RUN_PAGE", 16)
+    order = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = {k: order.choices(vocabulary, k=30) for k in range(1, 50 * n_batches + 1)}
+    probe = 10**6
+    texts |= {probe: texts[7][:-1] + ["z"], probe + 1: order.choices(vocabulary, k=30)}
+    uploads, chunks = _uploads(spark, texts, lambda k: 99 if k >= probe else 0)
+    store = history.UploadHistory(spark, str(tmp_path / "s"), range_rows=20_000)
+    sizes = store.stage(uploads, chunks)
+    store.ingest(0, sizes[0])
+
+    def rows_read(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        todo, n = [plan], 0
+        while todo:
+            node = todo.pop()
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                node = node.executedPlan()
+            if node.getClass().getSimpleName() == "FileSourceScanExec":
+                n += node.metrics().apply("numOutputRows").value()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+        return n
+
+    keys = [x for r in store._records([99]).select("keys").collect() for x in r["keys"]]
+    entries = rows_read(store._read([r["path"] for r in store.state["runs"]], history.RUN).filter(history._near("key", keys)))
+    records = rows_read(store._records([0]).select("upload_id", "words").filter(history._near("upload_id", [7])))
+    assert 0 < entries <= 2 * 16 * len(keys) and 0 < records <= 2 * history.RECORD_PAGE  # whatever the history holds
+    store.ingest(99, sizes[99])
+    assert [tuple(r) for r in store.rejections().collect()] == [(7, probe)]
+
+
+def test_intervals_hold_all_values():
+    for values, most in (([], 4), ([5], 4), ([1, 2, 3, 90, 91, 500], 3), (list(range(0, 1000, 7)), 5), ([-(1 << 62), 1 << 62], 1)):
+        got = history.intervals(values, most)
+        assert len(got) <= most and all(any(a <= v <= b for a, b in got) for v in values)
+    assert history.intervals([1, 2, 3, 90, 91, 500], 3) == [(1, 3), (90, 91), (500, 500)]
 
 
 def test_a_repeat_in_a_crowd_is_named_by_the_smallest(spark, monkeypatch):
