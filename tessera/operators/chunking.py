@@ -2,7 +2,9 @@
 
 Packing is a fold over paragraphs and lines. Texts up to ``FOLD_CHARS`` are
 folded by Catalyst's ``aggregate``; it copies its result at each step, so that
-longer ones go through Arrow with the same rules.
+longer ones go through Arrow. The rules are the same character by character:
+white space between paragraphs is that of ASCII, what is stripped off either
+end is Java's, which knows no no-break spaces.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from pyspark.sql.types import ArrayType, StringType
 #: Characters a chunk aims at, and from which a paragraph is cut into lines.
 TARGET, MAXIMUM = 1200, 2400
 #: Longest text folded inside the JVM.
-FOLD_CHARS = 1_000_000
+FOLD_CHARS = 20_000
 _SPACE = "\\p{javaWhitespace}"
+#: Java's white space: separators but for the no-break ones, and some controls.
+_STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
+_BETWEEN = re.compile(r"\n\s*\n", re.ASCII)
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
 
 
 def _pack(parts: Column, glue: str) -> Column:
@@ -40,7 +45,7 @@ def _pack(parts: Column, glue: str) -> Column:
 
 def fold_blocks(text: Column) -> Column:
     """The chunks of one page as an array, inside the JVM."""
-    paragraphs = F.filter(F.transform(F.split(_strip(text), r"\n\s*\n"), _strip), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(_strip(text), r"\n[ \t\n\x0B\f\r]*\n"), _strip), lambda p: p != "")
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > MAXIMUM, _pack(F.split(p, "\n"), "\n")).otherwise(F.array(p))))
     return _pack(pieces, "\n\n")
 
@@ -66,8 +71,8 @@ def pack(parts: list[str], glue: str) -> list[str]:
 def page_blocks(text: str | None) -> list[str]:
     """``fold_blocks`` for one text on the Python side."""
     pieces: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", (text or "").strip()):
-        if own := paragraph.strip():
+    for paragraph in _BETWEEN.split((text or "").strip(_STRIPPED)):
+        if own := paragraph.strip(_STRIPPED):
             pieces += pack(own.split("\n"), "\n") if len(own) > MAXIMUM else [own]
     return pack(pieces, "\n\n")
 

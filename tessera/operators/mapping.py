@@ -16,6 +16,7 @@ from tessera.functions.json_text import embedded_json, recover_json
 from tessera.functions.text import match_key, title_case
 from tessera.functions.values import FALSE_WORDS, NUMBER_NOISE, TRUE_WORDS
 from tessera.model import Column, load_schema, parse_columns, schema_columns
+from tessera.session import once
 
 #: Attributes of a cell, which are not fields of a record.
 CELL_KEYS = frozenset(("confidence", "importance", "page", "chunk", "raw_source", "searchable"))
@@ -140,7 +141,7 @@ def map_responses(responses: DataFrame, collections: DataFrame) -> DataFrame:
     of its collection and version. Null, unreadable and cut-off responses, and
     those without any schema, give no cells; repeated rows count once.
     """
-    rows = responses.select("response_id", "document_id", "collection_id", "schema_version", "response_json").dropDuplicates(["response_id"])
+    rows = once(responses.select("response_id", "document_id", "collection_id", "schema_version", "response_json"), "response_id")
     saved = collections.select("collection_id", "schema_version", "schema_json").dropDuplicates(["collection_id", "schema_version"])
     joined = rows.join(saved, ["collection_id", "schema_version"], "left").select("response_id", "document_id", "response_json", "schema_json")
     kinds = [pa.int32(), *[pa.string()] * 4, pa.float64(), pa.bool_(), *[pa.string()] * 2, pa.int32(), pa.int32(), pa.string()]
@@ -218,7 +219,7 @@ def knowledge_sections(responses: DataFrame) -> DataFrame:
                 schema=pa.schema([("response_id", pa.int64()), ("section_no", pa.int32()), ("title", pa.string()), ("place", pa.int32()), ("field", pa.string())]),
             )
 
-    rows = responses.select("response_id", "response_json").dropDuplicates(["response_id"])
+    rows = once(responses.select("response_id", "response_json"), "response_id")
     raw = rows.mapInArrow(run, "response_id bigint, section_no int, title string, place int, field string").withColumn("key", match_key(F.col("field")))
     columns = raw.filter("section_no is null")
     one = Window.partitionBy("response_id", "key").orderBy("place")
@@ -260,5 +261,5 @@ def response_analysis(responses: DataFrame) -> DataFrame:
             names = ["document_type", "category", "purpose", "owner", "audience", "summary"]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("response_id", pa.int64()), *[(n, pa.string()) for n in names], ("sections", pa.list_(pa.string())), ("warnings", pa.list_(pa.string()))]))
 
-    rows = responses.select("response_id", "response_json").dropDuplicates(["response_id"])
+    rows = once(responses.select("response_id", "response_json"), "response_id")
     return rows.mapInArrow(run, f"response_id bigint, {ANALYSIS}")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.functions.arrow import pieces
 from tessera.functions.json_text import embedded_json, recover_json
 from tessera.model import Column, load_schema, parse_columns, schema_columns
+from tessera.session import once
 
 NODE_SCHEMA = (
     "node_kind string, dewey array<int>, steps array<string>, schema_path string, "
@@ -130,11 +131,11 @@ def shred_responses(responses: DataFrame, collections: DataFrame, with_fields: b
     schema_json; other columns are ignored. Result: response_id, node_kind,
     dewey, steps, schema_path, fields (null unless ``with_fields``).
 
-    Repeated rows count once. Null ids are kept as they are; null, empty and
+    Repeated rows count once. Rows without an id are kept, each for itself; null, empty and
     unreadable JSON gives no rows; a response whose collection or version is
     missing is read by its own schema alone. Empty tables give an empty result.
     """
-    ids = responses.select("response_id", "collection_id", "schema_version", "response_json").dropDuplicates(["response_id"])
+    ids = once(responses.select("response_id", "collection_id", "schema_version", "response_json"), "response_id")
     saved = (
         collections.select("collection_id", "schema_version", "schema_json")
         .dropDuplicates(["collection_id", "schema_version"])
@@ -191,3 +192,24 @@ def table_of(linked: DataFrame, schema_path: str, columns: list[str] | None = No
     links = ["response_id", "dewey", "parent_dewey", "node_path", "parent_path"]
     picked = [F.col("fields")[name].alias(name if name not in links else f"{name}_field") for name in columns or []]
     return linked.filter(F.col("schema_path") == schema_path).select(*links, *(picked or [F.col("fields")]))
+
+
+def columns_table(linked: DataFrame) -> DataFrame:
+    """All columns of all levels as one flat table with their links: their
+    tables have the same fields, whatever the path."""
+    links = ["response_id", "schema_path", "dewey", "parent_dewey", "node_path", "parent_path"]
+    return linked.filter("node_kind = 'column'").select(*links, *[F.col("fields")[name].alias(name) for name in ("name", "type", "description", "required", "example")])
+
+
+def values_table(linked: DataFrame) -> DataFrame:
+    """The fields of all records, a row each, under the record they stand in."""
+    records = linked.filter("node_kind = 'record'")
+    return records.select("response_id", "schema_path", "dewey", "node_path", F.explode("fields").alias("field", "value"))
+
+
+def write_tables(linked: DataFrame, folder: str) -> None:
+    """Every schema path as a table of its own under ``folder``: one pass, one
+    folder a path, its rows with their links and fields. ``table_of`` gives a
+    table the columns wanted of it."""
+    rows = linked.select("node_kind", "schema_path", "response_id", "dewey", "parent_dewey", "node_path", "parent_path", "fields")
+    rows.write.mode("overwrite").partitionBy("node_kind", "schema_path").parquet(folder)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.functions.text import NUMERIC_EPSILON, digits_only, normalize_text, numbers_in, phone_in, phrase_in, words_of
 from tessera.functions.values import validate_value
 from tessera.model import Column as Column_
+from tessera.session import once
 
 #: Levels by score, and what each finding takes off.
 HIGH, MEDIUM = 0.8, 0.5
@@ -38,7 +39,7 @@ def _forms(text: Column) -> Column:
 
 def searchable_documents(chunks: DataFrame) -> DataFrame:
     """Per document its whole text and each chunk, in the forms matching needs."""
-    rows = chunks.select("document_id", "chunk_index", "page", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["document_id", "chunk_index"])
+    rows = once(chunks.select("document_id", "chunk_index", "page", F.coalesce("text", F.lit("")).alias("text")), "document_id", "chunk_index")
     one = rows.withColumn("forms", _forms(F.col("text")))
     grouped = one.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "page", "text", "forms"))).alias("chunks"))
     whole = F.concat(F.array_join(F.transform("chunks", lambda c: c["text"]), "\n"), F.lit("\n"))
@@ -86,7 +87,7 @@ def score_cells(cells: DataFrame, chunks: DataFrame, uploads: DataFrame | None =
     confidence count as medium; other columns are ignored.
     """
     kept = ["cell_id", "document_id", "column_name", "column_type", "value_text", "value_num", "value_bool", "reported", "page", "chunk", "raw_source"]
-    rows = cells.select(*kept).dropDuplicates(["cell_id"]).withColumn("column_type", F.coalesce(F.lower("column_type"), F.lit("text")))
+    rows = once(cells.select(*kept), "cell_id").withColumn("column_type", F.coalesce(F.lower("column_type"), F.lit("text")))
     numeric = F.col("column_type").isin("number", "currency")
     rows = (
         rows.withColumn("_number", F.when(F.col("value_num").isNotNull() & (numeric | F.col("value_text").isNull()), F.col("value_num")))
@@ -124,10 +125,11 @@ def score_cells(cells: DataFrame, chunks: DataFrame, uploads: DataFrame | None =
         "_quote_somewhere": F.col("_quote_here") | F.when(~no_quote, _quote_in(F.col("whole"))).otherwise(False),
         "_value_quoted": F.when(~no_quote, _value_in(F.col("_quote_forms"))).otherwise(True),
     })
-    return _scored(found)
+    return scored(found)
 
 
-def _scored(found: DataFrame) -> DataFrame:
+def scored(found: DataFrame) -> DataFrame:
+    """The rubric: level, score, place and note from the findings of each cell."""
     image, bad = F.col("is_image"), F.col("chunk").isNotNull() & F.col("_cited").isNull()
     uncited = F.col("chunk").isNull()
     recovered = uncited & F.col("_recovered").isNotNull()

@@ -20,7 +20,7 @@ from tessera.errors import CollectionNotFound, RowNotFound, SchemaConflict, Vali
 from tessera.functions.values import sanitize_name, sanitized, table_name
 from tessera.model import Column, parse_columns
 from tessera.operators.filters import Collection, coerced
-from tessera.session import remove
+from tessera.session import materialise, once, remove, scratch_dir
 
 #: Times a schema change is replayed on the newer version.
 ATTEMPTS = 3
@@ -206,6 +206,11 @@ class Catalog:
         children = {path: self.table(collection_id, name) for name, (_, path) in all_tables(collection_id, manifest.schema()).items() if path and "/" not in path}
         return Collection(manifest.schema(), self.table(collection_id), children)
 
+    def data_tables(self, collection_id: str) -> dict[str, DataFrame]:
+        """All data tables by name, children of every depth among them, as the
+        SQL gateway takes them."""
+        return {name: self.table(collection_id, name) for name in all_tables(collection_id, self.read(collection_id).schema())}
+
     def append(self, collection_id: str, cells: DataFrame, confidence: DataFrame | None = None) -> int:
         """Insert verified cells (document_id, row_ordinal, row_path,
         column_name, value_text/num/bool and, where known, level, score, page,
@@ -221,18 +226,20 @@ class Catalog:
             "_entity": F.coalesce(F.array_join(F.filter(steps, lambda x, k: k % 2 == 0), "/"), F.lit("")),
             "_path": F.coalesce("row_path", F.lit("")),
         })
+        # all tables are made of these: what it takes to verify them is done once
+        places = materialise(places, f"{scratch_dir(self.spark)}/cells")
         total, new = 0, {}
         levels: dict[str, DataFrame] = {}
         for name, (columns, path) in all_tables(collection_id, manifest.schema()).items():
             own = places.filter(F.col("_entity") == (path or ""))
-            rows, n = self._rows(own, columns, levels.get(path.rpartition("/")[0] if path else ""), path, self._next_id(manifest, name), confidence)
+            rows = self._rows(own, columns, levels.get(path.rpartition("/")[0] if path else ""), path, self._next_id(manifest, name), confidence)
             target = f"{self._folder(collection_id)}/{name}/v{manifest.version + 1:06d}-{manifest.rows:012d}"
             rows.write.mode("overwrite").parquet(target)
-            stored = self.spark.read.parquet(target)
+            stored = self.spark.read.schema(rows.schema).parquet(target)
             levels[path or ""] = stored.select(F.col("_document_id").alias("document_id"), "_ordinal", "_path", "_row_id")
             new[name] = target
-            total += n
-        n_documents = cells.select("document_id").distinct().count()
+            total += stored.count()
+        n_documents = places.select("document_id").distinct().count()
 
         def change(m: Manifest) -> None:
             for name, target in new.items():
@@ -247,7 +254,7 @@ class Catalog:
         paths = manifest.tables.get(name, [])
         return (self.spark.read.parquet(*paths).agg(F.max("_row_id")).first()[0] or 0) if paths else 0
 
-    def _rows(self, cells: DataFrame, columns: list[Column], parents: DataFrame | None, path: str | None, last_id: int, confidence: DataFrame | None) -> tuple[DataFrame, int]:
+    def _rows(self, cells: DataFrame, columns: list[Column], parents: DataFrame | None, path: str | None, last_id: int, confidence: DataFrame | None) -> DataFrame:
         keys = ["document_id", "row_ordinal", "_path"]
         level = F.coalesce("level", F.lit("low"))
         proof = F.struct(level.alias("level"), "score", "page", "chunk", "note", F.col("raw_source").alias("rawSource"))
@@ -284,14 +291,13 @@ class Catalog:
             up = parents.select(F.col("document_id").alias("_d"), F.col("_ordinal").alias("_o"), F.col("_path").alias("_p"), F.col("_row_id").alias("_parent_row_id"))
             out = out.join(up, (F.col("document_id") == F.col("_d")) & (F.col("row_ordinal") == F.col("_o")) & (F.col("_up") == F.col("_p")))
             link = ["_parent_row_id"]
-        rows = out.select(
+        return out.select(
             "_row_id", *link, F.col("document_id").alias("_document_id"), "_confidence", F.lit("high").alias("_importance"),
             F.to_json(F.map_from_arrays(names, F.transform("_all", lambda c: c["level"]))).alias("_confidence_json"),
             F.to_json(F.map_from_arrays(names, F.transform("_all", lambda c: c["proof"]))).alias("_evidence_json"),
             *[sanitized(c.name) for c in scalars],
             F.col("row_ordinal").alias("_ordinal"), "_path",
         )
-        return rows, wide.count()
 
     def update_cell(self, collection_id: str, row_id: int, column: str, value: object) -> None:
         """Change one value of the main table; its provenance stays."""
@@ -346,6 +352,19 @@ def trimmed_cache(cache: DataFrame, rows: int = CACHE_ROWS) -> DataFrame:
     return newest.orderBy(F.desc("cached_at")).limit(rows)
 
 
+def list_collections(collections: DataFrame) -> DataFrame:
+    """Each collection by its newest version, the last changed first:
+    collection_id, version, name, updated_at, place."""
+    newest = collections.groupBy("collection_id").agg(F.max("schema_version").alias("version"), F.max_by("name", "schema_version").alias("name"), F.max("updated_at").alias("updated_at"))
+    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.col("updated_at").desc_nulls_last(), "collection_id")))
+
+
+def list_documents(uploads: DataFrame) -> DataFrame:
+    """The documents of each collection, the newest first."""
+    rows = once(uploads.select("collection_id", "upload_id", "filename", "file_format", "row_count", "confidence", "created_at"), "upload_id")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("collection_id").orderBy(F.col("created_at").desc_nulls_last(), "upload_id")))
+
+
 def health(spark: SparkSession) -> dict:
     try:
         return {"status": "up" if spark.range(1).count() == 1 else "down"}

@@ -1,15 +1,17 @@
 """SQL over a collection's own tables: checked, then run read-only.
 
 Text is checked first (one SELECT, no forbidden word, no system catalog), then
-the plan Spark's parser makes of it: only nodes known to be harmless, only
-relations of one name that is a table of the collection or a query named in
-scope, and at least one table. What can't be parsed is turned away.
+the plan Spark's parser makes of it: only nodes and functions known to be
+harmless, only relations of one name that is a table of the collection or a
+query named in scope, and at least one table. What can't be parsed, or not
+within the time allowed, is turned away.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor, TimeoutError as ParseTimeout
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,8 @@ from tessera.operators.filters import Collection
 FORBIDDEN = re.compile(r"\b(DROP|DELETE|INSERT|UPDATE|ALTER|CREATE|TRUNCATE|GRANT|REVOKE|EXEC|EXECUTE|COPY|VACUUM)\b", re.IGNORECASE)
 SYSTEM = re.compile(r"\b(pg_catalog|information_schema|pg_[a-z_]+)\b", re.IGNORECASE)
 REFUSAL = "That doesn't look like a question about your data — try asking about a specific field, value or document."
-#: Longest statement that is parsed.
-MAX_SQL = 20_000
+#: Longest statement that is parsed, and the seconds parsing may take.
+MAX_SQL, PARSE_SECONDS = 20_000, 2.0
 #: Plan nodes a query may have.
 ALLOWED = frozenset(
     """
@@ -33,6 +35,36 @@ ALLOWED = frozenset(
     UnresolvedOrdinal Pivot UnresolvedPivot Unpivot Window UnresolvedInlineTable LocalRelation ResolvedHint UnresolvedHint
     """.split()
 )
+#: Functions a query may call: of the value alone, without a way to the JVM,
+#: files, the session or the user.
+FUNCTIONS = frozenset(
+    """
+    abs acos any any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_size array_sort
+    ascii asin atan atan2 avg bool_and bool_or btrim cardinality cast ceil ceiling char_length character_length chr coalesce collect_list collect_set
+    concat concat_ws contains corr cos count count_if covar_pop covar_samp cume_dist current_date current_timestamp date date_add date_diff date_format
+    date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear decode degrees dense_rank element_at endswith every exp explode extract
+    find_in_set first first_value floor format_number format_string from_unixtime get_json_object greatest grouping grouping_id hour if ifnull initcap
+    instr isnan isnotnull isnull json_array_length kurtosis lag last last_day last_value lcase lead least left length levenshtein like listagg ln locate
+    log log10 log2 lower lpad ltrim make_date map_keys map_values max max_by mean median min min_by minute mod mode month months_between named_struct
+    nth_value ntile nullif nullifzero nvl nvl2 octet_length overlay percent_rank percentile percentile_approx percentile_cont percentile_disc pi position
+    pow power quarter radians rank regexp_count regexp_extract regexp_extract_all regexp_like regexp_replace regexp_substr repeat replace reverse right
+    rint rlike round row_number rpad rtrim second sequence sign signum sin size skewness slice some sort_array soundex split split_part sqrt startswith
+    std stddev stddev_pop stddev_samp string_agg strpos struct substr substring substring_index sum tan timestamp to_char to_date to_number to_timestamp
+    translate trim trunc try_cast try_divide try_to_number typeof ucase upper var_pop var_samp variance weekday weekofyear width_bucket year zeroifnull
+    boolean tinyint smallint int bigint float double decimal string
+    + - * / % = == <=> < <= > >= != <> ! and or not || div & | ^ ~ in between
+    """.split()
+)
+#: What may be unresolved in a parsed expression; anything else of that kind
+#: (names made at run time, table functions) is turned away.
+UNRESOLVED = frozenset(
+    """
+    UnresolvedAttribute UnresolvedFunction UnresolvedStar UnresolvedAlias UnresolvedExtractValue UnresolvedWindowExpression
+    UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStarWithColumns UnresolvedStarExceptOrReplace UnresolvedInlineTable
+    """.split()
+)
+#: Names Spark takes for functions where no column bears them; they tell of the session.
+SESSION_NAMES = frozenset(("current_user", "session_user", "user", "current_catalog", "current_database", "current_schema"))
 
 
 def _seq(items) -> list:
@@ -40,8 +72,23 @@ def _seq(items) -> list:
 
 
 class _Walk:
-    def __init__(self, allowed: set[str]) -> None:
-        self.allowed, self.touched = allowed, False
+    def __init__(self, allowed: set[str], columns: set[str]) -> None:
+        self.allowed, self.columns, self.touched = allowed, columns, False
+
+    def expression(self, node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            parts = [str(p).lower() for p in _seq(node.nameParts())]
+            if len(parts) != 1 or parts[0] not in FUNCTIONS:
+                raise QueryError(f"Not allowed in a query: {'.'.join(parts)}()")
+        elif kind == "UnresolvedAttribute":
+            parts = [str(p).lower() for p in _seq(node.nameParts())]
+            if len(parts) == 1 and parts[0] in SESSION_NAMES - self.columns:
+                raise QueryError(f"Not allowed in a query: {parts[0]}")
+        elif ("Unresolved" in kind and kind not in UNRESOLVED) or "Identifier" in kind or "Reflection" in kind or kind.startswith("Current") and kind not in ("CurrentDate", "CurrentTimestamp", "CurrentRow$"):
+            raise QueryError(f"Not allowed in a query: {kind}")
+        for child in _seq(node.children()):
+            self.expression(child)
 
     def plan(self, node, scope: frozenset[str]) -> None:
         kind = node.getClass().getSimpleName()
@@ -59,14 +106,32 @@ class _Walk:
                 inner = scope | {name} if node.allowRecursion() else scope
                 self.plan(relation._2(), inner)
                 scope = scope | {name}
+        for expression in _seq(node.expressions()):
+            self.expression(expression)
         for child in _seq(node.children()):
             self.plan(child, scope)
         for inner in _seq(node.subqueries()):
             self.plan(inner, scope)
 
 
-def check_sql(spark: SparkSession, sql: str, allowed: set[str]) -> str:
-    """The statement without a closing semicolon; raises what is wrong with it."""
+def _parsed(spark: SparkSession, text: str):
+    """Spark's unresolved plan of a statement, within ``PARSE_SECONDS``."""
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    parser.parsePlan("SELECT 1")  # what the first call loads isn't the statement's fault
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(parser.parsePlan, text).result(PARSE_SECONDS)
+    except ParseTimeout:
+        raise QueryError("Generated SQL took too long to parse") from None
+    except Exception as error:
+        raise QueryError("Generated SQL could not be parsed for validation", str(error)[:200]) from None
+    finally:
+        pool.shutdown(wait=False)
+
+
+def check_sql(spark: SparkSession, sql: str, allowed: set[str], columns: set[str] = frozenset()) -> str:
+    """The statement without a closing semicolon; raises what is wrong with it.
+    ``columns`` are the tables' columns, which may be called like the session's user."""
     text = sql.strip()
     if not text.upper().startswith(("SELECT", "WITH")):
         raise QueryError("Only SELECT queries are allowed")
@@ -80,11 +145,8 @@ def check_sql(spark: SparkSession, sql: str, allowed: set[str]) -> str:
     if len(text) > MAX_SQL:
         raise QueryError("The query is too long")
     text = _spark_types(text)
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(_bare_quotes(text))
-    except Exception as error:
-        raise QueryError("Generated SQL could not be parsed for validation", str(error)[:200]) from None
-    walk = _Walk({a.lower() for a in allowed})
+    plan = _parsed(spark, _bare_quotes(text))
+    walk = _Walk({a.lower() for a in allowed}, {c.lower() for c in columns})
     walk.plan(plan, frozenset())
     if not walk.touched:
         raise QueryError("Query must reference the collection's tables")
@@ -111,7 +173,7 @@ def collection_tables(collection_id: str, collection: Collection) -> dict[str, D
 
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Check a statement and run it over views of the tables given."""
-    text = _bare_quotes(check_sql(spark, sql, set(tables)))
+    text = _bare_quotes(check_sql(spark, sql, set(tables), {c for df in tables.values() for c in df.columns}))
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text)

@@ -107,9 +107,10 @@ def _projected(spark, sf_dir):
 
 _add(
     "provenance_long",
-    lambda s, d: answer.long_cells(_projected(s, d)).filter("column_name <> 'total'").withColumnRenamed("_row_id", "row_id"),
+    lambda s, d: answer.long_cells(_projected(s, d)).withColumnRenamed("_row_id", "row_id"),
     f"""WITH {BASE} SELECT _row_id AS row_id, 'customer_name' AS column_name, customer_name AS value, CAST(NULL AS VARCHAR) AS confidence, CAST(NULL AS INT) AS page, CAST(NULL AS VARCHAR) AS raw_source FROM orders_main
-        UNION ALL SELECT _row_id, 'status', status, 'high', NULL, NULL FROM orders_main""",
+        UNION ALL SELECT _row_id, 'status', status, 'high', NULL, NULL FROM orders_main
+        UNION ALL SELECT _row_id, 'total', CAST(total AS VARCHAR), {LEVEL}, CAST(_row_id % 5 + 1 AS INT), 'order ' || _row_id FROM orders_main""",
 )
 _add(
     "provenance_total",
@@ -141,16 +142,6 @@ def answer_headline(spark, sf_dir):
 _add("answer_headline", answer_headline, f"WITH {BASE} SELECT 'table' AS answer_type, count(*) || ' results' AS headline FROM orders_main WHERE status = 'O'")
 
 _money = lambda c: F.col(c).cast("decimal(18,2)")
-_add("top5_customers", lambda s, d: orders_collection(s, d).main.groupBy("customer_name").agg(F.sum(_money("total")).cast("double").alias("spend")).orderBy(F.desc("spend"), "customer_name").limit(5), f"WITH {BASE} SELECT customer_name, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS spend FROM orders_main GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
-_add("total_by_status", lambda s, d: orders_collection(s, d).main.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(_money("total")).cast("double").alias("sum_total")), f"WITH {BASE} SELECT status, count(*) AS n, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS sum_total FROM orders_main GROUP BY 1")
-_add("avg_total", lambda s, d: orders_collection(s, d).main.agg((F.sum(_money("total")).cast("double") / F.count("total")).alias("avg_total")), f"WITH {BASE} SELECT CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) / count(total) AS avg_total FROM orders_main")
-_add("most_recent_order", lambda s, d: orders_collection(s, d).main.agg(F.max("order_date").alias("order_date"), F.max_by("_row_id", F.struct("order_date", "_row_id")).alias("row_id")), f"WITH {BASE} SELECT max(order_date) AS order_date, arg_max(_row_id, (order_date, _row_id)) AS row_id FROM orders_main")
-_add(
-    "grouping_sets",
-    lambda s, d: orders_collection(s, d).main.cube("status", "segment").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("gid")),
-    f"WITH {BASE} SELECT status, segment, count(*) AS n, CAST(grouping(status, segment) AS INT) AS gid FROM orders_main GROUP BY CUBE (status, segment)",
-)
-_add("window_top3", lambda s, d: orders_collection(s, d).main.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("total"), "_row_id"))).filter("rank <= 3").select("segment", F.col("_row_id").alias("row_id"), "rank", "total"), f"WITH {BASE} SELECT segment, _row_id AS row_id, CAST(row_number() OVER (PARTITION BY segment ORDER BY total DESC, _row_id) AS INT) AS rank, total FROM orders_main QUALIFY rank <= 3")
 
 
 def total_crosscheck(spark, sf_dir):
@@ -166,11 +157,6 @@ _add(
     f"""WITH {BASE}, s AS (SELECT _parent_row_id, CAST(sum(CAST(amount AS DECIMAL(12,2)) * (1 - CAST(discount AS DECIMAL(12,2))) * (1 + CAST(tax AS DECIMAL(12,2)))) AS DOUBLE) AS expected FROM line_items GROUP BY 1)
         SELECT _row_id AS row_id, expected, total AS stated, abs(expected - total) <= greatest(0.02, abs(total) * 0.01) AS agrees FROM orders_main JOIN s ON _row_id = _parent_row_id""",
 )
-_add(
-    "evolve_union",
-    lambda s, d: read_table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(read_table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("balance")), allowMissingColumns=True),
-    "SELECT c_custkey AS id, c_name AS name, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, CAST(s_acctbal AS DOUBLE) FROM supplier",
-)
 _add("export_strip", lambda s, d: answer.strip_internal(orders_collection(s, d).main), f"WITH {BASE} SELECT customer_name, status, total, order_date, priority, segment, urgent FROM orders_main")
 _add("export_json", lambda s, d: json_rows(orders_collection(s, d).main.select("_row_id", "customer_name", "status", "urgent")), f"""WITH {BASE} SELECT '{{"customer_name":"' || customer_name || '","status":' || coalesce('"' || status || '"', 'null') || ',"urgent":' || CASE WHEN urgent THEN 'true' ELSE 'false' END || '}}' AS row FROM (SELECT * FROM orders_main ORDER BY _row_id LIMIT 100000)""")
 
@@ -182,8 +168,9 @@ def _gateway(name: str, sql: str) -> None:
 
     views_sql = "data_o AS (SELECT * FROM orders_main), data_o_line_items AS (SELECT * FROM line_items), data_o_parts AS (SELECT * FROM parts)"
     body = sql.rstrip(";")
-    own = body[5:] if body.upper().startswith("WITH ") else None
-    _add(name, query, f"WITH {BASE}, {views_sql}, {own}" if own else f"WITH {BASE}, {views_sql} {body}")
+    opening = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+    own = body[len(opening):] if body.upper().startswith(opening) else None
+    _add(name, query, f"{opening}{BASE}, {views_sql}, {own}" if own else f"WITH {BASE}, {views_sql} {body}")
 
 
 _gateway("gateway_cte_groupby", "WITH t AS (SELECT segment, total FROM data_o WHERE total > 1000) SELECT segment, count(*) AS n, max(total) AS top FROM t GROUP BY segment HAVING count(*) > 1")
@@ -193,6 +180,21 @@ _gateway("gateway_except", "SELECT segment AS v FROM data_o EXCEPT SELECT segmen
 _gateway("gateway_exists_case", "SELECT CASE WHEN total > 200000 THEN 'large' ELSE 'small' END AS size_class, count(*) AS n FROM data_o m WHERE EXISTS (SELECT 1 FROM data_o_parts c WHERE c._parent_row_id = m._row_id AND c.size < 5) GROUP BY 1")
 _gateway("gateway_window", "SELECT row_id, lag(total) OVER (ORDER BY row_id) AS before FROM (SELECT _row_id AS row_id, total FROM data_o WHERE urgent) x")
 _gateway("gateway_outer_join", "SELECT a.segment, count(b.row_id) AS n FROM (SELECT DISTINCT segment FROM data_o) a LEFT JOIN (SELECT segment, _row_id AS row_id FROM data_o WHERE total > 300000) b ON a.segment = b.segment GROUP BY a.segment")
+_gateway("top5_customers", "SELECT customer_name, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS spend FROM data_o GROUP BY customer_name ORDER BY spend DESC, customer_name LIMIT 5")
+_gateway("total_by_status", "SELECT status, count(*) AS n, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS sum_total FROM data_o GROUP BY status")
+_gateway("avg_total", "SELECT CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) / count(total) AS avg_total FROM data_o")
+_gateway("most_recent_order", "SELECT _row_id AS row_id, order_date FROM data_o ORDER BY order_date DESC, _row_id DESC LIMIT 1")
+_gateway("window_top3", "SELECT segment, row_id, place, total FROM (SELECT segment, _row_id AS row_id, total, row_number() OVER (PARTITION BY segment ORDER BY total DESC, _row_id) AS place FROM data_o) x WHERE place <= 3")
+_gateway("grouping_sets", "SELECT status, segment, count(*) AS n, CAST(grouping(status) * 2 + grouping(segment) AS INT) AS gid FROM data_o GROUP BY CUBE (status, segment)")
+_gateway("gateway_range_join", "SELECT b.low, count(*) AS n FROM data_o o JOIN (SELECT DISTINCT CAST(floor(total / 100000) * 100000 AS BIGINT) AS low FROM data_o) b ON o.total >= b.low AND o.total < b.low + 100000 GROUP BY b.low")
+_gateway("gateway_lateral", "SELECT m._row_id AS row_id, x.top, x.n FROM data_o m, LATERAL (SELECT max(c.quantity) AS top, count(*) AS n FROM data_o_line_items c WHERE c._parent_row_id = m._row_id) x")
+_gateway("gateway_recursive", "WITH RECURSIVE t(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM t WHERE k < 5) SELECT t.k, count(o._row_id) AS n FROM t LEFT JOIN data_o o ON o._row_id % 7 = t.k GROUP BY t.k")
+_gateway("gateway_casts", "SELECT (floor(total / 50000))::int AS band, count(*)::text AS n, min(order_date)::date AS first_day FROM data_o GROUP BY 1")
+_gateway("gateway_functions", "SELECT upper(substr(segment, 1, 4)) AS seg, coalesce(status, 'none') AS status, extract(year FROM CAST(order_date AS DATE)) AS y, round(CAST(avg(total) AS DOUBLE) / 1000000, 3) AS mean, count(DISTINCT priority) AS kinds, count(*) FILTER (WHERE urgent) AS urgent FROM data_o GROUP BY 1, 2, 3")
+_gateway("gateway_full_join", "SELECT a.k, a.n AS low_n, b.n AS high_n FROM (SELECT status AS k, count(*) AS n FROM data_o WHERE total < 50000 GROUP BY status) a FULL OUTER JOIN (SELECT status AS k, count(*) AS n FROM data_o WHERE total > 400000 GROUP BY status) b ON a.k = b.k")
+_gateway("gateway_in_not_exists", "SELECT segment, count(*) AS n FROM data_o m WHERE status IN ('O', 'F') AND NOT EXISTS (SELECT 1 FROM data_o_line_items c WHERE c._parent_row_id = m._row_id AND c.return_flag = 'R') AND total BETWEEN 1000 AND 300000 GROUP BY segment")
+_gateway("gateway_limit_offset", "SELECT _row_id AS row_id, total FROM data_o ORDER BY total DESC, _row_id LIMIT 20 OFFSET 40")
+_gateway("gateway_intersect", "SELECT segment AS v FROM data_o WHERE urgent INTERSECT SELECT segment FROM data_o WHERE total > 200000")
 _gateway("gateway_rollup", "SELECT status, segment, count(*) AS n FROM data_o GROUP BY ROLLUP (status, segment)")
 
 # scalar functions and checks
@@ -221,8 +223,6 @@ _add("format_detect", lambda s, d: read_table(s, d, "uploads").select("upload_id
         CASE lower(regexp_extract(filename, '\\.([^.]*)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'csv' THEN 'csv' WHEN 'tsv' THEN 'csv' WHEN 'txt' THEN 'text' WHEN 'text' THEN 'text' WHEN 'md' THEN 'text' WHEN 'log' THEN 'text'
         WHEN 'png' THEN 'image' WHEN 'jpg' THEN 'image' WHEN 'jpeg' THEN 'image' WHEN 'webp' THEN 'image' WHEN 'tiff' THEN 'image' WHEN 'tif' THEN 'image' END) AS format FROM uploads""")
 _add("text_trim", lambda s, d: read_table(s, d, "documents").select("doc_id", F.length(java_trim(F.col("text"))).alias("n")), "SELECT doc_id, CAST(length(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS INT) AS n FROM documents")
-_add("collections_listing", lambda s, d: read_table(s, d, "collections").groupBy("collection_id").agg(F.max("schema_version").alias("version"), F.max_by("name", F.struct("schema_version", "name")).alias("name")), "SELECT collection_id, max(schema_version) AS version, arg_max(name, (schema_version, name)) AS name FROM collections GROUP BY 1")
-_add("numbers_in_text", lambda s, d: read_table(s, d, "cells").filter("raw_source is not null and raw_source not like '%,%'").select("cell_id", F.size(F.filter(text.numbers_in(F.col("raw_source")), lambda n: n > 0)).alias("n")), "SELECT cell_id, CAST(len(list_filter(list_distinct(list_transform(regexp_extract_all(raw_source, '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE))), lambda x: x > 0)) AS INT) AS n FROM cells WHERE raw_source IS NOT NULL AND raw_source NOT LIKE '%,%'")
 
 # documents: chunking, scoring, mapping
 
@@ -234,7 +234,6 @@ def chunk_documents(spark, sf_dir):
 
 _add("chunk_pages", chunk_documents)
 _add("chunk_counts", lambda s, d: chunk_documents(s, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("n")))
-_add("chunk_context", lambda s, d: chunking.chunk_context(read_table(s, d, "chunks").dropDuplicates(["chunk_id"]).filter("text is not null")).select("document_id", F.length("context").alias("n_chars")))
 
 
 def _scored(spark, sf_dir):
@@ -271,7 +270,6 @@ _add(
     lambda s, d: _projected(s, d).select(F.col("_row_id").alias("row_id"), views.provenance_status(F.col("total.value"), F.col("total.confidence"), F.col("total.page")).alias("total_status"), views.provenance_status(F.col("status.value"), F.col("status.confidence"), F.col("status.page")).alias("status_status"), views.confidence_label(F.col("total.confidence"), F.lit(0.5)).alias("label")),
     f"WITH {BASE} SELECT _row_id AS row_id, CASE WHEN _row_id % 7 = 0 THEN 'review' ELSE 'verified' END AS total_status, CASE WHEN status IS NULL THEN 'absent' ELSE 'unverified' END AS status_status, upper({LEVEL}[1]) || ({LEVEL})[2:] || ' (0.50)' AS label FROM orders_main".replace("upper(CASE", "upper((CASE").replace("END[1])", "END)[1])"),
 )
-_add("view_natural_sort", lambda s, d: read_table(s, d, "part").select("p_partkey", F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 20, "0").alias("expected"), views.natural_key(F.col("p_brand")).alias("key")).select("p_partkey", F.col("key").contains(F.col("expected")).alias("padded")), "SELECT p_partkey, true AS padded FROM part")
 
 # limits
 
@@ -280,7 +278,6 @@ def _requests(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select(F.col("event_id").cast("bigint").alias("request_id"), F.col("user_id").cast("string").alias("client"), "ts")
 
 
-_add("token_bucket", lambda s, d: limit_requests(_requests(s, d), 3, 86_400))
 _add("charged_calls", lambda s, d: charged(read_table(s, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "post").otherwise("GET").alias("method"), F.when(F.col("event_id") % 3 == 0, "/api/collections").when(F.col("event_id") % 3 == 1, "/api/collections/7/query").otherwise("/api/health").alias("path"))).select("event_id"), "SELECT event_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 IN (0, 1)")
 
 

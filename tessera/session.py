@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -56,13 +58,18 @@ _local: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder all executors share.
 
-    The cluster names its folder in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a temporary folder is made.
+    The cluster names its folder in ``spark.checkpoint.dir``. Where that is
+    unset a temporary folder is made if all runs on this machine, and removed
+    when the process ends; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="tessera-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         base = _local[0]
     return os.path.join(base, "tessera", uuid.uuid4().hex)
 
@@ -73,6 +80,14 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """Each record once, however often its row comes: one row per key. A row
+    with a null in its key names no record; such rows are told apart by content."""
+    nameless = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) > 0
+    content = F.when(nameless, F.xxhash64(*df.columns))
+    return df.withColumn("_content", content).dropDuplicates([*keys, "_content"]).drop("_content")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system API, wherever it lives."""
     jvm = spark.sparkContext._jvm

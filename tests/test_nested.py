@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tessera.functions.json_text import embedded_json, recover_json
-from tessera.operators.nested import link_parents, response_nodes, schema_tables, shred_responses, table_of
+from tessera.operators.nested import link_parents, response_nodes, columns_table, schema_tables, shred_responses, table_of, values_table, write_tables
 
 SCHEMA = [
     {"name": "A", "type": "text"},
@@ -88,3 +88,19 @@ def test_frames_with_repeats_nulls_and_extra_columns(spark):
     (row,) = table_of(linked, "rows[]/Items", ["B", "dewey"]).collect()
     assert row.B == "1" and list(row.dewey) == [0, 0, 0] and list(row.parent_dewey) == [0] and row.dewey_field is None
     assert shred_responses(responses.limit(0), collections.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, "c", 1, body), (None, "c", 1, '{"rows": [{"A": 1}]}'), (None, None, None, None)], "response_id bigint, collection_id string, schema_version int, response_json string")
+    assert shred_responses(nameless, collections).count() == 3
+
+
+def test_flat_tables_have_all_nodes_and_values(spark, tmp_path):
+    body = {"schema": {"columns": SCHEMA}, "rows": [{"Items": [{"B": {"value": 2.5}, "C": None}, None, {"B": "x"}], "A": True}]}
+    responses = spark.createDataFrame([(1, "c", 1, json.dumps(body))], "response_id bigint, collection_id string, schema_version int, response_json string")
+    collections = spark.createDataFrame([], "collection_id string, schema_version int, schema_json string")
+    linked = link_parents(shred_responses(responses, collections))
+    columns, values = columns_table(linked), values_table(linked)
+    assert {(r.node_path, r.parent_path) for r in columns.collect()} == {(r.node_path, r.parent_path) for r in linked.filter("node_kind = 'column'").collect()}
+    assert {(r.node_path, r.field, r.value) for r in values.collect()} == {("0", "A", "true"), ("0/Items/0", "B", "2.5"), ("0/Items/0", "C", None), ("0/Items/2", "B", "x")}
+    write_tables(linked, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == linked.count() and back.filter("schema_path = 'rows[]/Items'").count() == 2
+

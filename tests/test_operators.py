@@ -142,6 +142,21 @@ def test_chunk_pages_and_delimited(spark):
     assert chunking.delimited_blocks("only") == ["only"] and chunking.delimited_blocks("") == []
 
 
+@settings(max_examples=15, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["a" * 700, "b" * 1300, "c" * 30, "\n", "\n\n", "\u00a0", "\u2003", "\x1c", "\x85", "\u3000", "\u2028", " ", "\t", "\u202f", "\x0b", "\ufeff"]), max_size=9).map("".join), min_size=8, max_size=8))
+def test_chunks_are_the_same_on_either_side(spark, texts):
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").select("k", chunking.fold_blocks(F.col("text")).alias("jvm"))
+    assert {r.k: r.jvm for r in rows.collect()} == {k: chunking.page_blocks(x) for k, x in enumerate(texts)}
+
+
+def test_the_switch_of_sides_changes_nothing(spark, monkeypatch):
+    between = "\n\u00a0\n"
+    pages = spark.createDataFrame([("d", 1, "x" * 700 + between + "y" * 700)], "document_id string, page int, text string")
+    below = [r.text for r in chunking.chunk_pages(pages).collect()]
+    monkeypatch.setattr(chunking, "FOLD_CHARS", 10)
+    assert [r.text for r in chunking.chunk_pages(pages).collect()] == below and [len(x) for x in below] == [1403]
+
+
 def test_mapping(spark):
     body = {"rows": [{"A": {"value": "5", "page": 2, "chunk": "3", "confidence": "HIGH", "raw_source": "five"}, "N": "$1,000", "List": [{"x": 1, "y": 2}]}], "schema": {"columns": [{"name": "A"}, {"name": "N", "type": "number"}, {"name": "List"}, {"name": "Miss"}]}, "knowledge_sections": [{"title": "S", "fields": ["a", "nope", "A"]}, {"title": "T", "fields": ["A"]}]}
     responses = spark.createDataFrame([(1, "d", "c", 1, json.dumps(body)), (2, "d", "c", 1, None), (3, "d", "zz", 1, '{"rows": [{"A": 1}]}')], "response_id bigint, document_id string, collection_id string, schema_version int, response_json string")
@@ -171,6 +186,11 @@ def test_sql_taken(spark, sql):
         "DROP TABLE d", "SELECT 1", "SELECT * FROM other", "SELECT * FROM d, other", "SELECT * FROM d WHERE x IN (SELECT y FROM other)", "WITH t AS (SELECT * FROM other) SELECT * FROM t, d", "SELECT * FROM d UNION SELECT * FROM other",
         "SELECT * FROM d; SELECT 1", "SELECT * FROM pg_catalog.x", "SELECT * FROM information_schema.tables", "SELECT * FROM d -- \n, other", "SELECT * FROM range(5), d", "SELECT * FROM parquet.`/etc/x`", "SELECT * FROM IDENTIFIER('other')",
         "WITH leaked AS (SELECT * FROM other), other AS (SELECT * FROM d) SELECT * FROM leaked", "SELECT * FROM d WHERE 'delete' = x", "SELECT FROM WHERE", "EXPLAIN SELECT * FROM d", "SELECT explode(x) FROM db.d", "SELECT * FROM d LATERAL VIEW explode(x) t AS y",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM d", "SELECT java_method('java.lang.System', 'getenv', 'PATH') FROM d", "SELECT try_reflect('java.lang.System', 'getProperty', 'x') FROM d",
+        "SELECT x FROM d WHERE length(reflect('a', 'b')) > 1", "SELECT x FROM d ORDER BY java_method('a', 'b')", "SELECT sum(x) FILTER (WHERE reflect('a', 'b') = 'c') FROM d", "SELECT x FROM d WHERE x IN (SELECT reflect('a', 'b') FROM d)",
+        "SELECT max(x) OVER (PARTITION BY reflect('a', 'b')) FROM d", "SELECT transform(x, y -> reflect('a', y)) FROM d", "SELECT IDENTIFIER('reflect')('a', 'b') FROM d", "SELECT system.builtin.reflect('a', 'b') FROM d",
+        "SELECT current_user() FROM d", "SELECT current_user FROM d", "SELECT user FROM d", "SELECT session_user FROM d", "SELECT input_file_name() FROM d", "SELECT current_database() FROM d", "SELECT version() FROM d", "SELECT * FROM read_files('/etc') , d", "SELECT secret('a', 'b') FROM d",
+        "SELECT * FROM d TABLESAMPLE (1 ROWS) JOIN other", "SELECT uuid() FROM d", "SELECT x FROM d GROUP BY x HAVING reflect('a', 'b') = 'c'", "SELECT * FROM d JOIN d_items i ON reflect('a', 'b') = i.x", "SELECT * FROM d LIMIT (SELECT length(reflect('a', 'b')) FROM d)",
     ],
 )
 def test_sql_turned_away(spark, sql):
@@ -178,6 +198,17 @@ def test_sql_turned_away(spark, sql):
         gateway.check_sql(spark, sql, TABLES)
 
 
+def test_sql_that_takes_long_to_parse(spark, monkeypatch):
+    monkeypatch.setattr(gateway, "PARSE_SECONDS", 0.0)
+    with pytest.raises(QueryError, match="too long"):
+        gateway.check_sql(spark, "SELECT " + " + ".join(["x"] * 3000) + " FROM d", TABLES)
+
+
+def test_columns_called_like_the_user(spark):
+    rows = gateway.run_sql(spark, "SELECT user, upper(current_user) AS u FROM d_named", {"d_named": spark.createDataFrame([("a", "b")], "user string, current_user string")})
+    assert tuple(rows.first()) == ("a", "B")
+
+
 def test_verdicts_and_phrasing(spark):
     assert gateway.read_verdict('{"answerable": "true", "sql": "SELECT 1"}')[0] == "SELECT 1"
     for refused in (None, "hello", '{"answerable": false, "reason": ""}', '{"answerable": true}', '{"sql": "SELECT 1"}'):
