@@ -12,10 +12,12 @@ and whether its question and answer turn up as well.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,9 +30,11 @@ MIN_WORDS = 12
 K1, B = 1.2, 0.75
 #: Postings in a block of the index.
 BLOCK = 32
-#: Characters of items that one broadcast index may hold. More items are taken
-#: in blocks of this size, each against all documents.
-INDEX_CHARS = 32_000_000
+#: Characters of items that one broadcast index may hold; measured, a built index
+#: takes some INDEX_FACTOR bytes a character, so about 200 MB. More items are
+#: taken in blocks of this size, each against all documents.
+INDEX_CHARS, INDEX_FACTOR = 4_000_000, 50
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -50,43 +54,48 @@ class Index:
         self.min_words = min_words
         self.items = items = [i for i in items if len(i.words) >= min_words]
         self.vocabulary: dict[str, int] = {}
-        rows = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in i.words] for i in items]
-        self.rows = rows
-        self.pairs: dict[tuple[int, int], int] = {}
-        pairs = [[self.pairs.setdefault(p, len(self.pairs)) for p in zip(row, row[1:])] for row in rows]
+        self.rows = [array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in i.words]) for i in items]
+        self.sizes = [len(row) for row in self.rows]
+        #: word pairs, packed into one number, by their running number
+        self.pairs: dict[int, int] = {}
+        pairs = [array("i", [self.pairs.setdefault(p, len(self.pairs)) for p in _packed(row)]) for row in self.rows]
         seen = Counter(t for row in pairs for t in set(row))
-        mean = sum(map(len, pairs)) / len(rows) if rows else 1.0
-        idf = {t: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for t, n in seen.items()}
-        postings: dict[int, list[tuple[int, float]]] = {}
-        self.thresholds: list[float] = []
+        mean = sum(map(len, pairs)) / len(pairs) if pairs else 1.0
+        idf = [math.log(1 + (len(pairs) - seen[t] + 0.5) / (seen[t] + 0.5)) for t in range(len(self.pairs))]
+        self.thresholds = array("d")
+        # postings of pair t stand at starts[t] to starts[t + 1]
+        self.starts = array("q", [0])
+        for t in range(len(self.pairs)):
+            self.starts.append(self.starts[-1] + seen[t])
+        fill = self.starts[:-1]
+        self.posted, self.weights = array("i", bytes(4 * self.starts[-1])), array("d", bytes(8 * self.starts[-1]))
         for at, row in enumerate(pairs):
-            weights = {
-                t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(row) / mean)) for t, n in Counter(row).items()
-            }
+            weights = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(row) / mean)) for t, n in Counter(row).items()}
             for t, w in weights.items():
-                postings.setdefault(t, []).append((at, w))
+                self.posted[fill[t]], self.weights[fill[t]] = at, w
+                fill[t] += 1
             size = min_words - 1
             least = min(sum(weights[t] for t in set(row[k : k + size])) for k in range(len(row) - size + 1))
             self.thresholds.append(least * (1 - 1e-9))
         self.floor = min(self.thresholds, default=math.inf)
-        self.lists = {}
-        for t, found in postings.items():
-            blocks = [found[k : k + BLOCK] for k in range(0, len(found), BLOCK)]
-            self.lists[t] = (
-                [p for p, _ in found], [w for _, w in found], max(w for _, w in found),
-                [b[-1][0] for b in blocks], [max(w for _, w in b) for b in blocks],
-            )
-        self.grams: list[dict[tuple, list[int]]] = []
-        for row in rows:
-            places: dict[tuple, list[int]] = {}
-            for k in range(len(row) - min_words + 1):
-                places.setdefault(tuple(row[k : k + min_words]), []).append(k)
-            self.grams.append(places)
+        #: hashes of each item's stretches of min_words words, in order, and their places
+        self.grams = []
+        for row in self.rows:
+            grams = _gram_hashes(row, min_words)
+            order = np.argsort(grams, kind="stable").astype(np.int32)
+            self.grams.append((grams[order], order))
+
+    def _list(self, t: int) -> tuple:
+        """The postings of a pair: items, weights, the largest weight, and the
+        last item and largest weight of each block."""
+        items, weights = self.posted[self.starts[t] : self.starts[t + 1]], self.weights[self.starts[t] : self.starts[t + 1]]
+        blocks = range(0, len(items), BLOCK)
+        return items, weights, max(weights), [items[min(k + BLOCK, len(items)) - 1] for k in blocks], [max(weights[k : k + BLOCK]) for k in blocks]
 
     def search(self, terms: list[int]) -> list[int]:
         """Items that score at least their threshold for the word pairs given, by
         block-max WAND: items in order, skipping to where the lists' bounds can reach the floor."""
-        cursors = [[self.lists[t], 0] for t in dict.fromkeys(terms)]
+        cursors = [[self._list(t), 0] for t in dict.fromkeys(terms)]
         found = []
         floor = self.floor
         while cursors:
@@ -141,7 +150,7 @@ class Index:
                 continue
             if len(run) >= size:
                 begin, terms = 0, []
-                for k, pair in enumerate([*map(self.pairs.get, zip(run, run[1:])), None]):
+                for k, pair in enumerate([*map(self.pairs.get, _packed(run)), None]):
                     if pair is not None:
                         terms.append(pair)
                         continue
@@ -158,20 +167,37 @@ class Index:
             grams = None
             for item in self.search(terms):
                 if grams is None:
-                    grams = [tuple(run[k : k + size]) for k in range(len(run) - size + 1)]
-                places, row = self.grams[item], self.rows[item]
-                longest = 0
-                for k, gram in enumerate(grams):
-                    for p in places.get(gram, ()):
-                        n = size
+                    grams = _gram_hashes(run, size)
+                known, places = self.grams[item]
+                row, longest = self.rows[item], 0
+                first = np.searchsorted(known, grams)
+                for k in np.flatnonzero(known[np.minimum(first, known.size - 1)] == grams):
+                    at = int(first[k])
+                    while at < known.size and known[at] == grams[k]:
+                        p, n = int(places[at]), 0
                         while k + n < len(run) and p + n < len(row) and run[k + n] == row[p + n]:
                             n += 1
-                        longest = max(longest, n)
+                        longest = max(longest, n if n >= size else 0)
+                        at += 1
                 if longest:
                     out[item] = max(out.get(item, 0), longest)
         return out
 
 
+def _packed(row: list[int]) -> list[int]:
+    return [a << 32 | b for a, b in zip(row, row[1:])]
+
+
+def _gram_hashes(row: list[int], size: int) -> np.ndarray:
+    """A hash of each stretch of ``size`` words."""
+    ids = np.asarray(row, np.uint64) + np.uint64(1)
+    grams = np.zeros(max(0, ids.size - size + 1), np.uint64)
+    for k in range(size):
+        grams = (grams ^ ids[k : k + grams.size]) * _MULTIPLIER
+        grams ^= grams >> np.uint64(29)
+    return grams
+
+
 def _seek(places: list[int], at: int, target: float) -> int:
     """First position from ``at`` on whose item is not below ``target``."""
     step, end = 1, len(places)
@@ -223,7 +249,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_
                     own_words = words(text.as_py())
                     found = index.leaks(own_words)
                     if found and report:
-                        rest += [(n, len(index.rows[i]), _holds(own_words, asked[i][0]), _holds(own_words, asked[i][1])) for i, n in found.items()]
+                        rest += [(n, index.sizes[i], _holds(own_words, asked[i][0]), _holds(own_words, asked[i][1])) for i, n in found.items()]
                     owners += [k] * len(found)
                     items_found += found
                 columns = [batch.column(0).take(pa.array(owners, pa.int64())), ids.take(pa.array(items_found, pa.int64()))]

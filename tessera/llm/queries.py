@@ -55,7 +55,7 @@ def p7_ids(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> Dat
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), report=False)
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +70,20 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(read_table(spark, sf_dir, "documents")).coverage()
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(read_table(spark, sf_dir, "documents")).classes()
+
+
 def queries() -> dict[str, Query]:
-    found = (p2_found, p2_normalised, p3_found, p3_accepted, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_report, p9_found, p9_coverage)
+    found = (p2_found, p2_normalised, p3_found, p3_accepted, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_report, p9_found, p9_coverage, p9_classes)
     return {f.__name__: f for f in found}
 
 
+_WINDOWS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 400),
+            w AS (SELECT DISTINCT doc_id, k, md5(substring(text, k, 400)) AS g
+                  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS k FROM d))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2400",
@@ -92,4 +101,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b
             FROM w a JOIN w b ON a.g = b.g AND a.doc_id < b.doc_id
         """,
+        "p9_coverage": f"""
+            WITH {_WINDOWS},
+            s AS (SELECT DISTINCT doc_id, k FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1)),
+            e AS (SELECT doc_id, k, k - coalesce(max(k) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -400) AS gap FROM s),
+            c AS (SELECT doc_id, CAST(sum(least(gap, 400)) AS BIGINT) AS shared_chars FROM e GROUP BY 1),
+            l AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n_links FROM w a JOIN w b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1)
+            SELECT doc_id, CAST(length(text) AS INT) AS n_chars, shared_chars, n_links FROM c JOIN l USING (doc_id) JOIN d USING (doc_id)
+        """,
+        "p9_classes": f"""
+            WITH {_WINDOWS}
+            SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS class_size
+            FROM d WHERE doc_id IN (SELECT doc_id FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1))
+        """,
     }

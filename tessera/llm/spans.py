@@ -4,10 +4,19 @@ Method: a count-min prefilter. A document's windows are picked by their content
 (the least hash among neighbours), so that two texts with a stretch of
 ``min_chars`` in common have a picked window in common. Pass one counts the
 windows of each partition in a count-min sketch of saturating counters (none,
-one, more); the sketches are merged. It can only overestimate. Pass two keeps
+one, more); the sketches are merged. It can only overestimate. The sketch has at
+least two counters a window, counted from the bytes of all texts. Pass two keeps
 the windows estimated repeated and groups those exactly; windows that meet are
 extended to the whole common stretch, character by character. No pair is lost.
 
+A window many texts share says little: a standing phrase shorter than the
+stretch wanted. Before such texts are paired the window is widened in steps, to
+either side, until it nearly has the length wanted; texts meet only where a
+widened window agrees.
+
+Where the sketch would outgrow what may be broadcast, windows are grouped
+exactly by their hash instead, by one shuffle of hashes; the result is the same.
+
 Documents with the same text are one class: its first document stands for it.
 """
 
@@ -18,9 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
+from tessera.functions.arrow import pieces
 from tessera.session import materialise, scratch_dir
 
 #: Characters a shared stretch has at least.
@@ -28,9 +39,16 @@ MIN_CHARS = 400
 #: Bytes of a window. A stretch of MIN_CHARS has at least as many bytes, so the
 #: least hash of MIN_CHARS - WINDOW + 1 neighbouring windows lies within it.
 WINDOW = 256
-#: Counters in each row of the sketch, as a power of two, and its rows. Too
-#: few only make the second pass keep more windows.
-SKETCH_BITS, SKETCH_ROWS = 24, 2
+#: Rows of the sketch, and its counters in a row as a power of two: at least two
+#: a window, of which a text has about one per so many bytes. The upper bound is
+#: 2 x 32 MB, in the driver and in each worker.
+SKETCH_ROWS, LEAST_BITS, MOST_BITS = 2, 16, 28
+WINDOW_BYTES = 57
+#: Windows of a partition counted at a time.
+COUNT_ROWS = 4_000_000
+#: Texts that may share a window before it is widened, and the widened windows
+#: tried for it.
+HOT, STEPS = 50, 16
 #: A sketch travels in tiles of this many counters.
 TILE = 1 << 16
 #: Bytes of text hashed at a time.
@@ -168,68 +186,125 @@ def _distinct_per_row(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return h[first]
 
 
-def build_sketch(documents: DataFrame, window: int = WINDOW, min_chars: int = MIN_CHARS, bits: int = SKETCH_BITS) -> dict[tuple[int, int], bytes]:
-    """Pass one: the counters that reached two, as bit tiles by sketch row and
-    tile. Its size is bounded by ``bits``, whatever the number of documents."""
+def sketch_bits(documents: DataFrame, min_chars: int = MIN_CHARS) -> int:
+    """Bits for a sketch of these texts, from the bytes of all of them."""
+    total = documents.filter(F.length("text") >= min_chars).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST_BITS, (2 * total // WINDOW_BYTES).bit_length())
+
+
+def _saturated(cells: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order with their counts up to two."""
+    if not cells.size:
+        return cells, np.zeros(0, np.uint8)
+    order = np.argsort(cells, kind="stable")
+    ordered = cells[order]
+    own = np.ones(cells.size, np.int64) if counts is None else counts[order].astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[at], np.minimum(np.add.reduceat(own, at), 2).astype(np.uint8)
+
+
+def build_sketch(documents: DataFrame, window: int = WINDOW, min_chars: int = MIN_CHARS, bits: int = LEAST_BITS) -> list[bytes]:
+    """Pass one: the counters that reached two, as a bit map for each row of the
+    sketch. A partition's sketch holds what it counted, tile by tile, as the
+    places of its counters; the merged one is bounded by ``bits``."""
+    tile_size = min(TILE, 1 << bits)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(1 << bits, np.uint8) for _ in range(SKETCH_ROWS)]
+        held: list[list[np.ndarray]] = [[] for _ in range(SKETCH_ROWS)]
+        n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, parts in enumerate(held):
+                cells, counts = _saturated(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+                parts.clear()
+                tiles = cells // tile_size
+                edges = np.searchsorted(tiles, np.unique(tiles), side="left")
+                rows = []
+                for begin, end in zip(edges, [*edges[1:], cells.size]):
+                    inside = (cells[begin:end] % tile_size).astype(np.uint16)
+                    more = counts[begin:end] > 1
+                    rows.append({"sketch_row": k, "tile": int(tiles[begin]), "one": inside[~more].tobytes(), "more": inside[more].tobytes()})
+                for at in range(0, len(rows), 512):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 512], schema=tile_schema)
+
         for batch in batches:
             rows, _, hashes = text_windows(batch.column(0), window, min_chars)
             once = _distinct_per_row(rows, hashes)
-            for k, counter in enumerate(counts):
-                cells = _cells(once, k, bits)
-                again = np.sort(cells)
-                again = again[1:][again[1:] == again[:-1]]
-                counter[cells] = np.minimum(counter[cells] + 1, 2)
-                counter[again] = 2
-        for k, counter in enumerate(counts):
-            tiles = counter.reshape(-1, min(TILE, 1 << bits))
-            for t in np.flatnonzero(tiles.any(axis=1)):
-                yield pa.RecordBatch.from_pylist(
-                    [{"sketch_row": k, "tile": int(t), "one": np.packbits(tiles[t] >= 1).tobytes(), "more": np.packbits(tiles[t] >= 2).tobytes()}],
-                    schema=tile_schema,
-                )
+            for k, parts in enumerate(held):
+                parts.append(_cells(once, k, bits))
+            n += once.size
+            if n >= COUNT_ROWS:
+                yield from flush()
+                n = 0
+        yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[tuple[int, int], list[np.ndarray]] = {}
+        merged: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                one, more = (np.frombuffer(r[c], np.uint8) for c in ("one", "more"))
-                had = merged.get((r["sketch_row"], r["tile"]))
-                if had is None:
-                    merged[r["sketch_row"], r["tile"]] = [one.copy(), more.copy()]
-                else:
-                    had[1] |= more | (had[0] & one)
-                    had[0] |= one
-        for (k, t), (_, more) in merged.items():
-            if more.any():
-                yield pa.RecordBatch.from_pylist([{"sketch_row": k, "tile": t, "more": more.tobytes()}], schema=merged_schema)
+                had = merged.setdefault((r["sketch_row"], r["tile"]), np.zeros(tile_size, np.uint8))
+                one = np.frombuffer(r["one"], np.uint16)
+                had[one] = np.minimum(had[one] + 1, 2)
+                had[np.frombuffer(r["more"], np.uint16)] = 2
+        for (k, t), counts in merged.items():
+            if (counts > 1).any():
+                yield pa.RecordBatch.from_pylist([{"sketch_row": k, "tile": t, "more": np.packbits(counts > 1).tobytes()}], schema=merged_schema)
 
     tile_schema = pa.schema([("sketch_row", pa.int32()), ("tile", pa.int32()), ("one", pa.binary()), ("more", pa.binary())])
     merged_schema = pa.schema([("sketch_row", pa.int32()), ("tile", pa.int32()), ("more", pa.binary())])
     tiles = documents.select("text").filter(F.length("text") >= min_chars).mapInArrow(local, "sketch_row int, tile int, one binary, more binary")
     merged = tiles.repartition("sketch_row", "tile").mapInArrow(merge, "sketch_row int, tile int, more binary")
-    return {(r["sketch_row"], r["tile"]): bytes(r["more"]) for r in merged.toLocalIterator()}
+    maps = [bytearray((1 << bits) // 8 or 1) for _ in range(SKETCH_ROWS)]
+    for r in merged.toLocalIterator():
+        at = r["tile"] * tile_size // 8
+        maps[r["sketch_row"]][at : at + len(r["more"])] = r["more"]
+    return [bytes(m) for m in maps]
 
 
-def _estimated_repeated(hashes: np.ndarray, sketch: dict[tuple[int, int], bytes], bits: int) -> np.ndarray:
+def _estimated_repeated(hashes: np.ndarray, sketch: list[bytes], bits: int) -> np.ndarray:
     keep = np.ones(hashes.size, bool)
-    tile_size = min(TILE, 1 << bits)
-    for k in range(SKETCH_ROWS):
+    for k, row in enumerate(sketch):
         cells = _cells(hashes, k, bits)
-        for t in np.unique(cells // tile_size):
-            own = np.flatnonzero(cells // tile_size == t)
-            tile = sketch.get((k, int(t)))
-            if tile is None:
-                keep[own] = False
-            else:
-                packed = np.frombuffer(tile, np.uint8)
-                at = cells[own] % tile_size
-                keep[own] &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        packed = np.frombuffer(row, np.uint8)
+        keep &= (packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
     return keep
 
 
+def widened(text: bytes, places: list[int], window: int, min_chars: int, steps: int = STEPS) -> list[tuple[int, int]]:
+    """Hashes of the windows at these places (in bytes) widened by whole
+    characters in every mix of ``steps`` steps to the left and to the right, as
+    (number of the place, hash). Any stretch of ``min_chars`` characters around
+    a window holds one of its widened windows."""
+    data = np.frombuffer(text, np.uint8)
+    starts = np.concatenate((np.flatnonzero((data & 0xC0) != 0x80), [data.size]))
+    out = []
+    for k, place in enumerate(places):
+        # the characters that lie wholly within the window
+        first = int(np.searchsorted(starts, place))
+        last = int(np.searchsorted(starts, place + window, side="right")) - 1
+        size = (min_chars - (last - first)) // steps
+        if size < 1:
+            out.append((k, xxhash.xxh3_64_intdigest(text[place : place + window]) >> 1))
+            continue
+        for left in range(steps):
+            begin, end = first - left * size, last + (steps - 1 - left) * size
+            if begin >= 0 and end < starts.size:
+                out.append((k, xxhash.xxh3_64_intdigest(text[int(starts[begin]) : int(starts[end])], seed=left) >> 1))
+    return out
+
+
+def _run_chars(text: bytes, place: int, window: int, period: int) -> int:
+    """Characters of the stretch around a window that repeats its period. Two
+    such stretches may meet at any of their repeats; where a common stretch goes
+    beyond one, it holds its first or last window at the same place in both."""
+    data = np.frombuffer(text, np.uint8)
+    breaks = np.flatnonzero(data[:-period] != data[period:])
+    k = int(np.searchsorted(breaks, place))
+    begin = int(breaks[k - 1]) + 1 if k else 0
+    end = int(breaks[k]) + period if k < breaks.size else data.size
+    return int(((data[begin:end] & 0xC0) != 0x80).sum())
+
+
 def _stretch(a: bytes, b: bytes, at_a: int, at_b: int) -> tuple[int, int, int]:
     """The common stretch through two places as its begins and length in bytes."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -284,7 +359,7 @@ class SharedSpans:
 
     def coverage(self) -> DataFrame:
         """Per document with a shared stretch: doc_id, n_chars, shared_chars,
-        n_links (other texts it shares with). A text another document has is
+        n_links (other documents it shares with). A text another document has is
         shared as a whole. Of a stretch that only repeats a short period as
         much counts as its first and last occurrences cover."""
         both = self.spans.select(F.col("doc_id_a").alias("class_id"), F.col("doc_id_b").alias("other"), F.col("begin_a").alias("begin"), "n_chars").unionByName(
@@ -297,17 +372,26 @@ class SharedSpans:
         end = F.col("begin") + F.col("n_chars")
         reached = F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         added = F.greatest(F.lit(0), end - F.greatest(F.col("begin"), reached))
-        parts = both.withColumn("added", added).groupBy("class_id").agg(F.sum("added").alias("covered"), F.countDistinct("other").alias("n_links"))
-        return self.members.join(parts, "class_id", "left").select(
+        covered = both.withColumn("added", added).groupBy("class_id").agg(F.sum("added").alias("covered"))
+        sizes = self.members.filter("doc_id = class_id").select(F.col("class_id").alias("other"), "class_size")
+        linked = both.select("class_id", "other").distinct().join(sizes, "other").groupBy("class_id").agg(F.sum("class_size").alias("linked"))
+        return self.members.join(covered, "class_id", "left").join(linked, "class_id", "left").select(
             "doc_id", "n_chars",
             F.when(F.col("class_size") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint").alias("shared_chars"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            (F.coalesce("linked", F.lit(0)) + F.col("class_size") - 1).cast("bigint").alias("n_links"),
         )
 
+    def classes(self) -> DataFrame:
+        """doc_id, class_id (the first document with the same text), class_size
+        of every document of a pair: with the pairs of first documents this is
+        the whole result, whatever the size of the classes."""
+        return self.members.select("doc_id", "class_id", "class_size")
+
 
-def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int = WINDOW, bits: int = SKETCH_BITS) -> SharedSpans:
+def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int = WINDOW, bits: int | None = None) -> SharedSpans:
     """Stretches of at least ``min_chars`` characters that stand in more than
-    one document of ``documents`` (doc_id, text).
+    one document of ``documents`` (doc_id, text). ``bits`` sizes the sketch, by
+    default from the texts.
 
     Null, empty and shorter texts share nothing; null ids are left out; a row
     repeated with the same id counts once; other columns are ignored.
@@ -316,16 +400,20 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
         raise ValueError("the window must not be longer than the stretch")
     spark = documents.sparkSession
     rows = documents.select("doc_id", "text").filter("doc_id is not null")
-    sketch = spark.sparkContext.broadcast(build_sketch(rows, window, min_chars, bits))
     if not isinstance(rows.schema["doc_id"].dataType, LongType):
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = rows.filter(F.length("text") >= min_chars)
     reach = min_chars - window + 1
+    bits = sketch_bits(rows, min_chars) if bits is None else bits
+    sketch = spark.sparkContext.broadcast(build_sketch(rows, window, min_chars, bits)) if bits <= MOST_BITS else None
+    arrays = "hashes array<bigint>, places array<bigint>, periods array<bigint>"
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, place, hashes = text_windows(batch.column(1), window, min_chars)
-            keep = _estimated_repeated(hashes, sketch.value, bits)
-            owner, place, hashes = owner[keep], place[keep], hashes[keep]
+            if sketch is not None:
+                keep = _estimated_repeated(hashes, sketch.value, bits)
+                owner, place, hashes = owner[keep], place[keep], hashes[keep]
             taken, lists, places, periods = [], [], [], []
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             for k in np.flatnonzero(np.diff(bounds)):
@@ -335,55 +423,91 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
                 places.append(p)
                 periods.append(period)
             take = pa.array(taken, pa.int64())
+            texts = [batch.column(1).take(take)] if sketch is not None else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(periods, pa.list_(pa.int64()))],
-                names=["doc_id", "text", "hashes", "places", "periods"],
+                [batch.column(0).take(take), *texts, *(pa.array(x, pa.list_(pa.int64())) for x in (lists, places, periods))],
+                names=["doc_id", *["text"] * len(texts), "hashes", "places", "periods"],
             )
 
-    kept = (
-        rows.filter(F.length("text") >= min_chars)
-        .mapInArrow(second, "doc_id bigint, text string, hashes array<bigint>, places array<bigint>, periods array<bigint>")
-        .withColumn("digest", F.md5("text"))
-    )
-    kept = materialise(kept, f"{scratch_dir(spark)}/kept")
+    if sketch is not None:
+        kept = rows.mapInArrow(second, f"doc_id bigint, text string, {arrays}")
+    else:
+        every = rows.mapInArrow(second, f"doc_id bigint, {arrays}").select("doc_id", F.explode(F.arrays_zip("hashes", "places", "periods")).alias("w"))
+        every = every.select("doc_id", F.col("w.hashes").alias("h"), "w")
+        repeated = every.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h")
+        w = F.sort_array(F.collect_set("w"))
+        found = every.join(repeated, "h").groupBy("doc_id").agg(w.alias("w")).select("doc_id", *[F.col(f"w.{c}").alias(c) for c in ("hashes", "places", "periods")])
+        kept = rows.dropDuplicates(["doc_id"]).join(found, "doc_id").select("doc_id", "text", "hashes", "places", "periods")
+    scratch = scratch_dir(spark)
+    kept = materialise(kept.withColumn("digest", F.md5("text")), f"{scratch}/kept")
     classes = kept.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_size"))
     small = kept.select("doc_id", "digest", F.length("text").alias("n_chars")).distinct().join(classes, "digest")
     heads = kept.join(classes, "digest").filter("doc_id = class_id").dropDuplicates(["doc_id"])
     texts = heads.select("doc_id", "text")
     windows = heads.select("doc_id", F.explode(F.arrays_zip("hashes", "places", "periods")).alias("w")).select("doc_id", F.col("w.hashes").alias("h"), F.col("w.places").alias("place"), F.col("w.periods").alias("period"))
-    left = windows.select("h", F.col("doc_id").alias("doc_id_a"), F.col("place").alias("place_a"), F.col("period").alias("period_a"))
-    right = windows.select("h", F.col("doc_id").alias("doc_id_b"), F.col("place").alias("place_b"), F.col("period").alias("period_b"))
+    windows = materialise(windows, f"{scratch}/windows")
+    counts = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cold = windows.join(counts.filter(F.col("n") <= HOT).select("h"), "h")
+    hot = windows.join(counts.filter(F.col("n") > HOT).select("h"), "h")
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ids, keys, at, steps = [], [], [], []
+            for doc_id, text, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                keyed = widened(text, [w["place"] for w in found], window, min_chars)
+                for k, w in enumerate(found):
+                    if w["period"] and _run_chars(text, w["place"], window, w["period"]) >= min_chars:
+                        keyed.append((k, xxhash.xxh3_64_intdigest(text[w["place"] : w["place"] + window], seed=STEPS) >> 1))
+                for k, h in keyed:
+                    ids.append(doc_id)
+                    keys.append(h)
+                    at.append(found[k]["place"])
+                    steps.append(found[k]["period"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, at, steps)], names=["doc_id", "h", "place", "period"])
+
+    wide = (
+        hot.groupBy("doc_id").agg(F.collect_list(F.struct("place", "period")).alias("found")).join(texts, "doc_id")
+        .select("doc_id", F.col("text").cast("binary").alias("text"), "found").mapInArrow(widen, "doc_id bigint, h bigint, place bigint, period bigint")
+    )
+
+    def meeting(of: DataFrame) -> DataFrame:
+        left = of.select("h", F.col("doc_id").alias("doc_id_a"), F.col("place").alias("place_a"), F.col("period").alias("period_a"))
+        right = of.select("h", F.col("doc_id").alias("doc_id_b"), F.col("place").alias("place_b"), F.col("period").alias("period_b"))
+        return left.join(right, "h").filter("doc_id_a < doc_id_b")
+
     meets = (
-        left.join(right, "h").filter("doc_id_a < doc_id_b")
+        meeting(cold).unionByName(meeting(wide))
         .withColumn("period", F.greatest("period_a", "period_b"))
         .withColumn("aside", F.explode(F.expr("if(period > 0, array(0L, -period, period), array(0L))")))
         .withColumn("slack", F.abs("aside"))
         .groupBy("doc_id_a", "doc_id_b", (F.col("place_a") - F.col("place_b") + F.col("aside")).alias("shift"))
         .agg(F.min(F.col("place_a") - F.col("slack")).alias("place_a"), F.max(F.col("place_a") + F.col("slack")).alias("last_a"))
+        .groupBy("doc_id_a", "doc_id_b").agg(F.collect_list(F.struct("shift", "place_a", "last_a")).alias("shifts"))
     )
     with_texts = (
         meets.join(texts.select(F.col("doc_id").alias("doc_id_a"), F.col("text").alias("text_a")), "doc_id_a")
         .join(texts.select(F.col("doc_id").alias("doc_id_b"), F.col("text").alias("text_b")), "doc_id_b")
-        .select("doc_id_a", "doc_id_b", "shift", "place_a", "last_a", F.col("text_a").cast("binary"), F.col("text_b").cast("binary"))
+        .select("doc_id_a", "doc_id_b", "shifts", F.col("text_a").cast("binary"), F.col("text_b").cast("binary"))
     )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             owners, begins_a, begins_b, sizes = [], [], [], []
             for k in range(batch.num_rows):
-                shift, at, last = (batch.column(c)[k].as_py() for c in (2, 3, 4))
-                a, b = batch.column(5)[k].as_py(), batch.column(6)[k].as_py()
-                at = _next_common(a, b, max(at, shift, 0), shift, last, window)
-                while at <= last:
-                    x, y, n = _stretch(a, b, at, at - shift)
-                    first_a, chars = _characters(a, x, n)
-                    if chars >= min_chars:
-                        owners.append(k)
-                        begins_a.append(first_a)
-                        begins_b.append(_characters(b, y, n)[0])
-                        sizes.append(chars)
-                    # other stretches on the same shift lie beyond the end of this one
-                    at = _next_common(a, b, x + max(n, 1), shift, last, window)
+                a, b = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
+                for found in batch.column(2)[k].as_py():
+                    shift, at, last = found["shift"], found["place_a"], found["last_a"]
+                    at = _next_common(a, b, max(at, shift, 0), shift, last, window)
+                    while at <= last:
+                        x, y, n = _stretch(a, b, at, at - shift)
+                        first_a, chars = _characters(a, x, n)
+                        if chars >= min_chars:
+                            owners.append(k)
+                            begins_a.append(first_a)
+                            begins_b.append(_characters(b, y, n)[0])
+                            sizes.append(chars)
+                        # other stretches on the same shift lie beyond the end of this one
+                        at = _next_common(a, b, x + max(n, 1), shift, last, window)
             take = pa.array(owners, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take)] + [pa.array(x, pa.int64()) for x in (begins_a, begins_b, sizes)],
@@ -391,7 +515,7 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
             )
 
     spans = with_texts.mapInArrow(extend, "doc_id_a bigint, doc_id_b bigint, begin_a bigint, begin_b bigint, n_chars bigint")
-    spans = materialise(spans, f"{scratch_dir(spark)}/spans")
+    spans = materialise(spans, f"{scratch}/spans")
     touched = spans.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("class_id")).distinct()
     members = small.join(touched.withColumn("touched", F.lit(True)), "class_id", "left").filter("class_size > 1 or touched").select("doc_id", "class_id", "class_size", "n_chars")
     return SharedSpans(spans, members)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.arrow import pieces
+from tessera.session import once
 
 #: Characters a piece may have, and how many of the piece before it repeats.
 LIMIT, OVERLAP = 2400, 200
@@ -98,11 +99,11 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
 
     By default only chunks of more than ``limit`` characters are cut; with
     ``oversized_only`` false the others come as one piece. Null and empty texts
-    give no piece, repeated rows count once, a null page stays null and other
-    columns are ignored.
+    give no piece, repeated rows count once, chunks without an id each for
+    itself, a null page stays null and other columns are ignored.
     """
     keys = ["chunk_id", "document_id", "page", "chunk_index"]
-    rows = chunks.select(*keys, "text").filter(F.length("text") > (limit if oversized_only else 0)).dropDuplicates(["chunk_id"])
+    rows = once(chunks.select(*keys, "text").filter(F.length("text") > (limit if oversized_only else 0)), "chunk_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

@@ -308,6 +308,8 @@ def test_split_chunks(spark):
     got = splitting.split_chunks(chunks).collect()
     assert {r.chunk_id for r in got} == {1, 5} and max(len(r.text) for r in got) <= 2400 and sum(r.chunk_id == 1 for r in got) == 2
     assert {r.chunk_id for r in splitting.split_chunks(chunks, oversized_only=False).collect()} == {1, 2, 4, 5}
+    nameless = spark.createDataFrame([(None, "d", 1, 1, "x" * 3000, 7), (None, "d", 1, 2, "y" * 3000, 7)], chunks.schema)
+    assert splitting.split_chunks(nameless).filter("piece_no = 1").count() == 2
 
 
 # problem 6
@@ -427,6 +429,22 @@ def test_leaks_against_brute_force():
         leakage.Index(items, 1)
 
 
+def test_the_index_is_as_small_as_stated():
+    import pickle
+
+    order = random.Random(1)
+    vocabulary = ["".join(order.choices("abcdefghijklmnop", k=6)) for _ in range(5000)]
+    items = [leakage.Item(k, order.choices(vocabulary, k=300), None, None) for k in range(200)]
+    chars = sum(len(" ".join(i.words)) for i in items)
+    import tracemalloc
+
+    tracemalloc.start()
+    index = leakage.Index(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < leakage.INDEX_FACTOR * chars and len(pickle.dumps(index)) < held
+
+
 def test_find_leaks(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, f"x, ONE-two; {passage[8:]}. Ask me: yes", 0), (2, passage[:50], 0), (3, None, 0), (4, "", 0), (1, f"x, ONE-two; {passage[8:]}. Ask me: yes", 0)], "doc_id bigint, text string, item_id int")
@@ -449,8 +467,10 @@ def shared_by_force(texts, size):
     return {(a, b) for v in seen.values() for a in v for b in v if a < b}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_spans_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, hot, most", [(1, 50, 28), (2, 50, 28), (1, 1, 28), (2, 1, 28), (1, 50, 4)])
+def test_spans_against_brute_force(spark, seed, hot, most, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", hot)  # all windows are widened
+    monkeypatch.setattr(spans, "MOST_BITS", most)  # no sketch
     order = random.Random(seed)
     letters = "abcdé📎 "
     texts = {k: "".join(order.choices(letters, k=order.choice([10, 60, 150, 400]))) for k in range(40)}
@@ -470,12 +490,15 @@ def test_spans_against_brute_force(spark, seed):
         for i in range(len(t or "") - 39):
             windows.setdefault(t[i : i + 40], set()).add(k)
     for k, r in got.items():
+        assert r.n_links == sum(k in p for p in want)
         covered = {p for i in range(len(texts[k]) - 39) if len(windows[texts[k][i : i + 40]]) > 1 for p in range(i, i + 40)}
         if k < 82:  # periodic texts count as far as their occurrences are aligned
             assert r.shared_chars == len(covered), k
 
 
-def test_periodic_stretches_are_aligned_at_their_best(spark):
+@pytest.mark.parametrize("hot", [50, 1])
+def test_periodic_stretches_are_aligned_at_their_best(spark, hot, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", hot)
     order = random.Random(11)
     noise = lambda n: "".join(chr(order.randrange(0x3041, 0x3090)) for _ in range(n))
     rows = []
@@ -489,6 +512,55 @@ def test_periodic_stretches_are_aligned_at_their_best(spark):
     assert {tuple(r) for r in result.pairs().collect()} == {(2 * k, 2 * k + 1) for k in range(60)}
 
 
+def test_a_standing_phrase_pairs_nobody(spark):
+    """300 bytes in every text: its windows are widened before texts are paired."""
+    order = random.Random(2)
+    noise = lambda n: "".join(order.choices("abcdefghij ", k=n))
+    phrase = noise(300)
+    rows = [(k, noise(order.randrange(200, 300)) + phrase + noise(300)) for k in range(200)]
+    rows += [(900, rows[0][1][:-150]), (901, "Б" * 3 + rows[1][1][100:])]
+    seen = []
+    real = spans._stretch
+    spans._stretch = lambda *a: seen.append(1) or real(*a)
+    try:
+        texts = [t.encode() for _, t in rows[:200]]
+        keys = [{h for _, h in spans.widened(t, [t.index(phrase.encode()) + 20], 256, 400)} for t in texts]
+        assert all(not a & b for a, b in zip(keys, keys[1:])) and all(len(k) == 16 for k in keys)
+    finally:
+        spans._stretch = real
+    result = spans.shared_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {tuple(r) for r in result.pairs().collect()} == {(0, 900), (1, 901)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aé📎", min_size=40, max_size=60), st.text(alphabet="xyж", max_size=30), st.text(alphabet="xyж", max_size=30), st.integers(0, 24))
+def test_widened_windows_meet_in_any_stretch(stretch, before, after, at):
+    """Wherever a stretch of 40 characters lies, a window in it has a widened one in common."""
+    a, b = ("q" * 9 + stretch + "r").encode(), (before + stretch + after).encode()
+    place = len(stretch[:at].encode())
+    if place + 16 > len(stretch.encode()):
+        return
+    keys = [{h for _, h in spans.widened(t, [len(head) + place], 16, 40, steps=4)} for t, head in ((a, b"q" * 9), (b, before.encode()))]
+    assert keys[0] & keys[1]
+
+
+def test_the_sketch_only_overestimates(spark):
+    order = random.Random(8)
+    texts = ["".join(order.choices("abcdefgh", k=900)) for _ in range(60)]
+    texts += [texts[0][100:800], texts[1]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    bits = spans.sketch_bits(docs)
+    assert bits == spans.LEAST_BITS and spans.sketch_bits(docs.limit(0)) == bits
+    sketch = spans.build_sketch(docs, bits=bits)
+    rows, _, hashes = spans.text_windows(pa.array(texts))
+    pairs = {(r, h) for r, h in zip(rows.tolist(), hashes.tolist())}
+    n = {}
+    for _, h in pairs:
+        n[h] = n.get(h, 0) + 1
+    kept = spans._estimated_repeated(hashes, sketch, bits)
+    assert all(k for h, k in zip(hashes.tolist(), kept) if n[h] > 1) and kept.mean() < 0.2
+
+
 def test_blocks_of_a_long_text_pick_alike(monkeypatch):
     order = random.Random(9)
     text = "".join(order.choices("abcdefgh", k=9000))
@@ -503,6 +575,11 @@ def test_large_classes_are_given_by_their_first(spark):
     docs = spark.createDataFrame([(k, text) for k in range(10)] + [(99, "q" * 50 + text)], "doc_id bigint, text string")
     result = spans.shared_spans(docs, min_chars=100, window=64, bits=8)
     assert len(result.pairs().collect()) == 55
+    many = spans.shared_spans(spark.createDataFrame([(k, text) for k in range(70)] + [(70, "q" * 50 + text)], "doc_id bigint, text string"), min_chars=100, window=64)
+    stars, classes = {tuple(r) for r in many.pairs().collect()}, {r.doc_id: r.class_id for r in many.classes().collect()}
+    assert stars == {(0, k) for k in range(1, 71)} and classes == {k: 0 for k in range(70)} | {70: 70}
+    whole = {(a, b) for a in classes for b in classes if a < b and (classes[a] == classes[b] or tuple(sorted((classes[a], classes[b]))) in stars)}
+    assert len(whole) == 71 * 70 // 2 and {r.doc_id: r.n_links for r in many.coverage().collect()} == dict.fromkeys(range(71), 70)
     assert {(r.doc_id_a, r.doc_id_b) for r in result.pairs(full_class=4).collect()} == {(0, k) for k in range(1, 10)} | {(0, 99)}
     assert spans.shared_spans(docs.limit(0), min_chars=100, window=64, bits=8).pairs().count() == 0
 
