@@ -293,11 +293,25 @@ def widened(text: bytes, places: list[int], window: int, min_chars: int, steps:
     return out
 
 
-def _run_chars(text: bytes, place: int, window: int, period: int) -> int:
+def _periods(text: bytes, place: int, window: int, reach: int) -> Iterator[int]:
+    """The periods below ``reach`` a window may lie in a repetition of."""
+    head = text[place : place + window - reach + 1]
+    if len(head) < 8:  # too short to tell, so any
+        yield from range(1, reach)
+        return
+    at = text.find(head, place + 1, place + window)
+    while at >= 0:
+        yield at - place
+        at = text.find(head, at + 1, place + window)
+
+
+def _run_chars(text: bytes, place: int, period: int) -> int:
     """Characters of the stretch around a window that repeats its period. Two
     such stretches may meet at any of their repeats; where a common stretch goes
     beyond one, it holds its first or last window at the same place in both."""
     data = np.frombuffer(text, np.uint8)
+    if period >= data.size:
+        return 0
     breaks = np.flatnonzero(data[:-period] != data[period:])
     k = int(np.searchsorted(breaks, place))
     begin = int(breaks[k - 1]) + 1 if k else 0
@@ -456,7 +470,7 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
             for doc_id, text, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 keyed = widened(text, [w["place"] for w in found], window, min_chars)
                 for k, w in enumerate(found):
-                    if w["period"] and _run_chars(text, w["place"], window, w["period"]) >= min_chars:
+                    if any(_run_chars(text, w["place"], p) >= min_chars for p in _periods(text, w["place"], window, reach)):
                         keyed.append((k, xxhash.xxh3_64_intdigest(text[w["place"] : w["place"] + window], seed=STEPS) >> 1))
                 for k, h in keyed:
                     ids.append(doc_id)
