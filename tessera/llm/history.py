@@ -56,8 +56,9 @@ from tessera.session import remove, scratch_dir
 TOLERANCE = 0.1
 #: Keys of two anchors each, and the words read at an anchor.
 BANDS, SHINGLE = 24, 3
-#: Bits that stand for a word in a key; six words and the flag of a hash make 61.
-WORD_BITS = 10
+#: Bits that stand for a word in a key: with the number of the key (5 bits), six
+#: words and the flag of a hash make 60.
+WORD_BITS = 9
 #: Uploads in a window of one batch from which only the first of its key is
 #: compared, and by how much that grows with each turn: copies are gone after
 #: the first, and what only shares phrases is compared in full after a few.
@@ -173,8 +174,8 @@ def grams_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def sort_keys(tokens: np.ndarray) -> list[int]:
-    """The text keys: the words at two anchors each, as numbers that stand in
-    the order of those words. They are even; keys of hashes are odd."""
+    """The text keys: the words at two anchors each, as numbers that stand key by
+    key in the order of those words. They are even; keys of hashes are odd."""
     grams, places = np.unique(grams_of(tokens), return_index=True)
     least = np.full(BANDS * 2, np.uint64(0xFFFFFFFFFFFFFFFF))
     anchors = np.zeros(BANDS * 2, np.int64)
@@ -191,7 +192,8 @@ def sort_keys(tokens: np.ndarray) -> list[int]:
     read = np.zeros(BANDS * 2, np.int64)
     for k in range(SHINGLE):
         read = read << WORD_BITS | codes[anchors + k]
-    return np.unique((read[0::2] << WORD_BITS * SHINGLE | read[1::2]) << 1).tolist()
+    which = np.arange(BANDS) << 2 * WORD_BITS * SHINGLE
+    return ((which | read[0::2] << WORD_BITS * SHINGLE | read[1::2]) << 1).tolist()
 
 
 def _hashed_words(chunks: DataFrame) -> DataFrame:
