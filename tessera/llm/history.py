@@ -16,6 +16,11 @@ gathered. Texts lie sorted by id and only the pages of those to be compared are
 read. A manifest names all that counts; the store can be opened again by
 another process and takes the next batch from there.
 
+An entry also holds how often words of each of 48 kinds occur in its text. An
+edit changes two of these counts by one at most, so that a pair whose counts
+differ by more than twice the edits allowed is no match; such pairs, uploads that
+only share phrases, are left out within the window, before any text is read.
+
 Texts are compared exactly: word edit distance, bit-parallel. A pair within the
 limit shares at least half its shingles even if its changes lie as far apart as
 they can; ``BANDS`` keys of two anchors then miss it with a chance of 1 in
@@ -59,9 +64,11 @@ BANDS, SHINGLE = 24, 3
 #: Bits that stand for a word in a key: with the number of the key (5 bits), six
 #: words and the flag of a hash make 60.
 WORD_BITS = 9
-#: Uploads in a window of one batch from which only the first of its key is
-#: compared, and by how much that grows with each turn: copies are gone after
-#: the first, and what only shares phrases is compared in full after a few.
+#: Kinds of words counted for an entry, each up to 15.
+KINDS = 48
+#: Uploads of one batch that one of them may repeat by these counts and from which
+#: only the first of its key is compared, and by how much that grows with each
+#: turn: copies are gone after the first.
 CROWD, CROWD_GROWTH = 200, 4
 #: Uploads of one key that are held to find its windows.
 HELD = 50_000
@@ -196,6 +203,24 @@ def sort_keys(tokens: np.ndarray) -> list[int]:
     return ((which | read[0::2] << WORD_BITS * SHINGLE | read[1::2]) << 1).tolist()
 
 
+def kinds_of(tokens: np.ndarray) -> bytes:
+    """How often each kind of word occurs, two counts of up to 15 a byte."""
+    counts = np.bincount((tokens.astype(np.uint64) * np.uint64(KINDS) >> np.uint64(32)).astype(np.int64), minlength=KINDS)
+    counts = np.minimum(counts, 15).astype(np.uint8)
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def may_match(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether counts (rows of bytes, or one row) allow so many edits."""
+    low = np.abs((a & 15).astype(np.int16) - (b & 15)).sum(axis=-1)
+    return low + np.abs((a >> 4).astype(np.int16) - (b >> 4)).sum(axis=-1) <= 2 * limit
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """A column of equally long binaries as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), KINDS // 2)
+
+
 def _hashed_words(chunks: DataFrame) -> DataFrame:
     """document_id and its words in order as packed 32-bit hashes."""
 
@@ -233,7 +258,7 @@ def _digests(raw):
     return raw.map(digest_of, na_action="ignore")
 
 
-RECORDS = "upload_id bigint, digest string, n_words int, words binary, keys array<bigint>"
+RECORDS = "upload_id bigint, digest string, n_words int, words binary, keys array<bigint>, kinds binary"
 PREPARED = f"batch_no int, {RECORDS}"
 
 
@@ -249,10 +274,12 @@ def prepare_uploads(uploads: DataFrame, chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sizes, keys, texts = [], [], []
+            sizes, keys, texts, kinds = [], [], [], []
             for digest, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 data = _in_order(parts)
-                own = sort_keys(np.frombuffer(data, np.uint32)) if data else []
+                tokens = np.frombuffer(data, np.uint32)
+                own = sort_keys(tokens) if data else []
+                kinds.append(kinds_of(tokens))
                 if digest:
                     head = digest.encode()
                     own.append((crc32(head) << 31 | crc32(head[::-1]) & 0x7FFFFFFF) << 1 & 0x7FFFFFFFFFFFFFFF | 1)
@@ -260,14 +287,14 @@ def prepare_uploads(uploads: DataFrame, chunks: DataFrame) -> DataFrame:
                 keys.append(own)
                 texts.append(data)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in range(3)] + [pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["batch_no", "upload_id", "digest", "n_words", "words", "keys"],
+                [batch.column(k) for k in range(3)] + [pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.binary())],
+                names=["batch_no", "upload_id", "digest", "n_words", "words", "keys", "kinds"],
             )
 
     return joined.mapInArrow(run, PREPARED)
 
 
-RUN = "key bigint, n_words int, upload_id bigint, batch_no int"
+RUN = "key bigint, n_words int, upload_id bigint, batch_no int, kinds binary"
 PAIRS = "a bigint, b bigint"
 #: a with the batch it lies in, null for an upload that has to wait.
 CANDIDATES = "a bigint, a_batch int, b bigint"
@@ -288,6 +315,11 @@ def _near(column: str, values: list[int]) -> str:
     return " OR ".join(f"({column} >= {a} AND {column} <= {b})" for a, b in intervals(values)) or "false"
 
 
+def _pages_of(rows: int) -> dict[str, int]:
+    """Parquet's settings for pages of so many rows."""
+    return {"parquet.page.row.count.limit": rows, "parquet.page.size.row.check.min": min(rows, 100), "parquet.page.size.row.check.max": max(rows, 100)}
+
+
 def _few(n_lookups: int, page: int, n_stored: int) -> bool:
     return n_lookups <= 4 * INTERVALS and n_lookups * page * 8 < n_stored
 
@@ -338,7 +370,7 @@ class UploadHistory:
     def __init__(self, spark: SparkSession, folder: str, tolerance: float = TOLERANCE, compact_every: int = COMPACT_EVERY, range_rows: int = RANGE_ROWS) -> None:
         self.spark, self.folder, self.range_rows = spark, folder, range_rows
         self.files = _Files(spark, folder)
-        mine = {"tolerance": tolerance, "compact_every": compact_every, "bands": BANDS, "shingle": SHINGLE, "word_bits": WORD_BITS}
+        mine = {"tolerance": tolerance, "compact_every": compact_every, "bands": BANDS, "shingle": SHINGLE, "word_bits": WORD_BITS, "kinds": KINDS}
         versions = [n for n in self.files.names("manifest") if n.endswith(".json")]
         self.state = json.loads(self.files.read(f"manifest/{versions[-1]}")) if versions else {"keys": mine, "version": 0, "batches": [], "runs": [], "rejected": [], "steps": 0, "taken": 0}
         if self.state["keys"] != mine:
@@ -382,7 +414,7 @@ class UploadHistory:
         parts = 1 + max(r["n"] for r in sizes) // BATCH_ROWS  # a large batch is written by several tasks
         spread = prepare_uploads(uploads, chunks).repartition("batch_no", F.pmod(F.xxhash64("upload_id"), F.lit(parts)))
         out = spread.sortWithinPartitions("batch_no", "upload_id").write.mode("overwrite").partitionBy("batch_no")
-        out.option("partitionOverwriteMode", "dynamic").option("parquet.page.row.count.limit", RECORD_PAGE).parquet(f"{self.folder}/records")
+        out.option("partitionOverwriteMode", "dynamic").options(**_pages_of(RECORD_PAGE)).parquet(f"{self.folder}/records")
         return {r["batch_no"]: r["n"] for r in sizes}
 
     def ingest(self, batch_no: int, n_rows: int | None = None) -> None:
@@ -395,7 +427,7 @@ class UploadHistory:
             return
         here = f"{self.folder}/work/{batch_no}-{uuid.uuid4().hex[:8]}"
         past = [r["path"] for r in self.state["runs"]]
-        pending = self._records([batch_no]).select("upload_id", "batch_no", "n_words", "keys")
+        pending = self._records([batch_no]).select("upload_id", "batch_no", "n_words", "keys", "kinds")
         n_rows = pending.count() if n_rows is None else n_rows
         self.state["taken"] += n_rows
         own_runs: list[dict] = []
@@ -430,14 +462,23 @@ class UploadHistory:
         if _few(n_rows * (BANDS + 1), RUN_PAGE, sum(r["rows"] for r in self.state["runs"])):
             entries = entries.filter(_near("key", [r["key"] for r in keys.select("key").distinct().collect()]))
         hint = F.broadcast if n_rows * (BANDS + 1) <= KEY_ROWS else (lambda df: df)
-        longest = F.greatest("n_words", "n") * self.tolerance + 1e-9
-        met = entries.join(hint(keys.select("key", "n", "b")), "key").filter((F.col("key").bitwiseAND(1) == 1) | (F.abs(F.col("n_words") - F.col("n")) <= longest))
-        return met.select(F.col("upload_id").alias("a"), F.col("batch_no").alias("a_batch"), "b")
+        edits = F.floor(F.greatest("n_words", "n") * self.tolerance + 1e-9)
+        met = entries.join(hint(keys.select("key", "n", "b", F.col("kinds").alias("kinds_b"))), "key")
+        met = met.filter((F.col("key").bitwiseAND(1) == 1) | (F.abs(F.col("n_words") - F.col("n")) <= edits))
+        # hashes match whatever the words
+        edits = F.when(F.col("key").bitwiseAND(1) == 1, 1 << 30).otherwise(edits).cast("bigint")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                likely = may_match(_rows_of(batch.column(3)), _rows_of(batch.column(4)), batch.column(5).to_numpy(zero_copy_only=False))
+                yield batch.select([0, 1, 2]).filter(pa.array(likely, pa.bool_()))
+
+        return met.select(F.col("upload_id").alias("a"), F.col("batch_no").alias("a_batch"), "b", "kinds", "kinds_b", edits.alias("edits")).mapInArrow(run, CANDIDATES)
 
     def _turn(self, batch_no: int, pending: DataFrame, runs: list[str], n_rows: int, crowd: int, here: str, own_runs: list[dict]) -> tuple[str | None, str | None]:
         """One comparison of all that is pending; the paths of what must wait and
         of what is rejected but not yet named."""
-        keys = pending.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"), "batch_no")
+        keys = pending.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"), "kinds")
         small = n_rows * (BANDS + 1) <= TASK_KEYS
         sorted_keys = keys.coalesce(1) if small else keys.repartition("key")
         inside = sorted_keys.sortWithinPartitions("key", "b").mapInArrow(_neighbours(self.tolerance, crowd, batch_no), CANDIDATES)
@@ -474,7 +515,7 @@ class UploadHistory:
             keep = keep.filter(f"upload_id NOT IN ({', '.join(map(str, listed))})") if listed else keep
         else:
             keep = keep.join(F.broadcast(self.spark.createDataFrame([(x,) for x in listed], "upload_id bigint")), "upload_id", "left_anti")
-        own_runs.append(self._write_run(keep.select(F.explode("keys").alias("key"), "n_words", "upload_id", "batch_no"), n_rows * (BANDS + 1), 0))
+        own_runs.append(self._write_run(keep.select(F.explode("keys").alias("key"), "n_words", "upload_id", "batch_no", "kinds"), n_rows * (BANDS + 1), 0))
         if isinstance(rejected, str):
             self.state["rejected"].append(rejected)
         elif rejected:
@@ -496,7 +537,7 @@ class UploadHistory:
         n_files = -(-n_rows // self.range_rows)
         ranged = entries.coalesce(1) if n_files <= 1 else entries.repartitionByRange(n_files, "key", "n_words")
         seen = Observation()
-        ranged.sortWithinPartitions("key", "n_words").observe(seen, F.count(F.lit(1)).alias("n")).write.option("parquet.page.row.count.limit", RUN_PAGE).parquet(path)
+        ranged.sortWithinPartitions("key", "n_words").observe(seen, F.count(F.lit(1)).alias("n")).write.options(**_pages_of(RUN_PAGE)).parquet(path)
         return {"path": path, "tier": tier, "rows": seen.get["n"]}
 
     def _name(self, batch_no: int, runs: list[str], nameless: list[str], here: str) -> None:
@@ -505,7 +546,7 @@ class UploadHistory:
         are in the runs by now, and those that share a key are compared."""
         them = self._read(nameless, "upload_id bigint")
         late = self._records([batch_no]).join(them, "upload_id", "left_semi")
-        keys = late.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"))
+        keys = late.select(F.explode("keys").alias("key"), F.col("n_words").alias("n"), F.col("upload_id").alias("b"), "kinds")
         seen = Observation()
         met = self._met(runs, keys, them.count()).filter((F.col("a_batch") != batch_no) | (F.col("a") < F.col("b"))).distinct()
         met.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set("a_batch").alias("batches")).write.parquet(f"{here}/all_met")
@@ -617,26 +658,35 @@ def settle_batch(matches: list[tuple[int, int, int]], waiting: set[int], batch_n
 
 
 def _neighbours(tolerance: float, crowd: int, batch_no: int):
-    """Pairs within the windows of one batch, from its keys in order (key, n, b):
-    equal key, and a length that allows a match. Where a window of a key holds
-    more than ``crowd`` its first upload alone is paired with the others, and
-    these come once more with a null: they have to wait. Equal pairs come more
-    than once."""
+    """Pairs within the windows of one batch, from its keys in order (key, n, b,
+    kinds): equal key, a length and counts that allow a match. Where an upload of
+    a key has more than ``crowd`` of these its first upload alone is paired with
+    the others, and these come once more with a null: they have to wait. Equal
+    pairs come more than once."""
     at_once, held = 100_000, max(HELD, crowd + 2)
 
-    def pairs(key: int, members: list[tuple[int, int]]) -> Iterator[list[tuple[int | None, int]]]:
-        by_length = sorted(members) if key & 1 == 0 else [(0, b) for _, b in members]
-        begins, begin = [], 0
-        for k, (n, b) in enumerate(by_length):
-            while n - by_length[begin][0] > n * tolerance + 1e-9:
+    def pairs(key: int, members: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int | None, int]]]:
+        if key & 1:  # of a hash: all are copies
+            numbers = [b for _, b, _ in members]
+            if len(numbers) <= crowd:
+                yield [(min(a, b), max(a, b)) for k, b in enumerate(numbers) for a in numbers[:k]]
+            else:
+                yield [p for b in numbers[1:] for p in ((numbers[0], b), (None, b))]
+            return
+        by_length = sorted(members)
+        lengths, kinds = [n for n, _, _ in by_length], np.frombuffer(b"".join(c for _, _, c in by_length), np.uint8).reshape(-1, KINDS // 2)
+        out, begin = [], 0
+        for k, (n, b, _) in enumerate(by_length):
+            edits = int(n * tolerance + 1e-9)
+            while n - lengths[begin] > edits:
                 begin += 1
-            if k - begin > crowd:
+            likely = np.flatnonzero(may_match(kinds[begin:k], kinds[k], edits)) + begin if begin < k else ()
+            if len(likely) > crowd:
                 first = members[0][1]
-                yield [p for _, b in members[1:] for p in ((first, b), (None, b))]
+                yield [p for _, b, _ in members[1:] for p in ((first, b), (None, b))]
                 return
-            begins.append(begin)
-        for k, (_, b) in enumerate(by_length):
-            yield [(min(a, b), max(a, b)) for _, a in by_length[begins[k] : k]]
+            out.append([(min(a, b), max(a, b)) for a in (by_length[i][1] for i in likely)])
+        yield from out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, spilled = None, [], False
@@ -647,7 +697,7 @@ def _neighbours(tolerance: float, crowd: int, batch_no: int):
 
         for batch in batches:
             out: list[tuple[int | None, int]] = []
-            for now, n, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for now, n, b, kinds in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if now != key:
                     if len(members) > 1 and not spilled:
                         for more in pairs(key, members):
@@ -657,10 +707,10 @@ def _neighbours(tolerance: float, crowd: int, batch_no: int):
                                 out = []
                     key, members, spilled = now, [], False
                 if len(members) < held:
-                    members.append((n, b))
+                    members.append((n, b, kinds))
                     continue
                 if not spilled:  # too many to hold: crowded by any measure
-                    out += [p for _, c in members[1:] for p in ((members[0][1], c), (None, c))]
+                    out += [p for _, c, _ in members[1:] for p in ((members[0][1], c), (None, c))]
                     spilled = True
                 out += ((members[0][1], b), (None, b))
             yield batch_of(out)
