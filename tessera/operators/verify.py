@@ -1,7 +1,9 @@
 """Citations verified against the text, and confidence from it.
 
-Cells in long form meet the searchable forms of their document once, by one
-join on the document; everything else is a chain of expressions on that row.
+Cells in long form meet the chunk they cite first. What is found there is in the
+document too, as all ways to match only gain by more text; only the cells that
+still need it are joined with their whole document. Text is dropped from the rows
+as soon as it has been searched.
 """
 
 from __future__ import annotations
@@ -37,11 +39,15 @@ def _forms(text: Column) -> Column:
     return F.struct(plain.alias("text"), words_of(plain).alias("words"), numbers_in(text).alias("numbers"), digits_only(text).alias("digits"))
 
 
-def searchable_documents(chunks: DataFrame) -> DataFrame:
-    """Per document its whole text and each chunk, in the forms matching needs."""
+def searchable_chunks(chunks: DataFrame) -> DataFrame:
+    """Each chunk in the forms matching needs."""
     rows = once(chunks.select("document_id", "chunk_index", "page", F.coalesce("text", F.lit("")).alias("text")), "document_id", "chunk_index")
-    one = rows.withColumn("forms", _forms(F.col("text")))
-    grouped = one.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "page", "text", "forms"))).alias("chunks"))
+    return rows.withColumn("forms", _forms(F.col("text")))
+
+
+def searchable_documents(searchable: DataFrame) -> DataFrame:
+    """Per document its whole text and each chunk, in the forms matching needs."""
+    grouped = searchable.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "page", "text", "forms"))).alias("chunks"))
     whole = F.concat(F.array_join(F.transform("chunks", lambda c: c["text"]), "\n"), F.lit("\n"))
     return grouped.select("document_id", _forms(whole).alias("whole"), F.transform("chunks", lambda c: F.struct(c["chunk_index"].alias("index"), c["page"].alias("page"), c["forms"].alias("forms"))).alias("parts"))
 
@@ -96,36 +102,53 @@ def score_cells(cells: DataFrame, chunks: DataFrame, uploads: DataFrame | None =
         .withColumn("_quote", F.coalesce(F.trim("raw_source"), F.lit("")))
         .withColumn("_quote_plain", normalize_text(F.col("_quote")))
     )
-    joined = rows.join(searchable_documents(chunks), "document_id", "left")
     if uploads is not None:
         images = uploads.filter("file_format = 'image'").select("document_id").distinct().withColumn("is_image", F.lit(True))
-        joined = joined.join(images, "document_id", "left")
+        rows = rows.join(images, "document_id", "left").withColumn("is_image", F.coalesce("is_image", F.lit(False)))
     else:
-        joined = joined.withColumn("is_image", F.lit(False))
-    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("words"), F.array().cast("array<double>").alias("numbers"), F.lit("").alias("digits"))
-    joined = joined.withColumn("whole", F.coalesce("whole", empty)).withColumn("is_image", F.coalesce("is_image", F.lit(False)))
+        rows = rows.withColumn("is_image", F.lit(False))
     typed = F.when(numeric, F.col("_number").isNotNull()).otherwise(F.col("value_bool").isNotNull())
     outcome = validate_value(F.col("_text"), typed, F.col("column_type"), F.col("column_name"))
-    found = joined.withColumns({
+    no_quote = F.col("_quote") == ""
+    rows = rows.withColumns({
         "_invalid": outcome == "invalid",
-        "_located": F.col("is_image") | _value_in(F.col("whole")),
-        "_cited": F.get(F.filter("parts", lambda c: c["index"] == F.col("chunk")), F.lit(0)),
+        "_value_quoted": F.when(~no_quote, _value_in(_forms(F.col("_quote")))).otherwise(True),
     })
+    searchable = searchable_chunks(chunks)
+    cited = searchable.select("document_id", F.col("chunk_index").alias("chunk"), F.struct(F.col("chunk_index").alias("index"), "page").alias("_cited"), F.col("forms").alias("_forms"))
+    near = rows.join(cited, ["document_id", "chunk"], "left")
+    here = F.col("_cited").isNotNull()
+    near = near.withColumns({
+        "_value_here": F.when(here, _value_in(F.col("_forms"))),
+        "_quote_here": here & ~no_quote & F.coalesce(_quote_in(F.col("_forms")), F.lit(False)),
+    }).drop("_forms")
+    # cells with nothing left to look for don't meet their document
+    found_here = F.coalesce("_value_here", F.lit(False))
+    absent = (F.col("_text").isNull() & F.col("value_bool").isNull()) | (F.col("column_type") == "entity_array")
+    seek = ~F.col("is_image") & ~absent & (~found_here | (~no_quote & ~F.col("_quote_here")))
+    near = near.withColumn("_sought", F.when(seek, F.col("document_id")).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("cell_id", "column_name").cast("string"))))
+    documents = searchable_documents(searchable).withColumnRenamed("document_id", "_sought")
+    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("words"), F.array().cast("array<double>").alias("numbers"), F.lit("").alias("digits"))
+    far = near.join(documents, "_sought", "left").withColumn("whole", F.coalesce("whole", empty))
+    far = far.withColumn("_located", F.col("is_image") | found_here | _value_in(F.col("whole")))
     recover = F.col("chunk").isNull() & F.col("_located") & ~F.col("is_image")
-    found = found.withColumn("_recovered", F.when(recover, F.get(F.filter("parts", lambda c: _value_in(c["forms"])), F.lit(0))))
-    found = found.withColumn("_source", F.coalesce("_cited", "_recovered"))
-    source = F.col("_source")
-    no_quote = F.col("_quote") == ""
-    found = found.withColumns({
-        "_value_here": F.when(source.isNotNull(), _value_in(source["forms"])),
-        "_quote_here": F.coalesce(F.when(source.isNotNull() & ~no_quote, _quote_in(source["forms"])), F.lit(False)),
-        "_quote_forms": F.when(~no_quote, _forms(F.col("_quote"))),
-    })
-    found = found.withColumns({
-        "_quote_somewhere": F.col("_quote_here") | F.when(~no_quote, _quote_in(F.col("whole"))).otherwise(False),
-        "_value_quoted": F.when(~no_quote, _value_in(F.col("_quote_forms"))).otherwise(True),
+    holds = F.get(F.filter("parts", lambda c: _value_in(c["forms"])), F.lit(0))
+    quoted_in = lambda c: F.struct(c["index"].alias("index"), c["page"].alias("page"), _quote_in(c["forms"]).alias("quoted"))
+    first = F.get(F.transform(F.array(holds), lambda c: F.when(c.isNotNull(), quoted_in(c))), F.lit(0))
+    far = far.withColumns({
+        "_recovered": F.when(recover, first),
+        "_quote_far": F.when(~no_quote & ~F.col("_quote_here"), _quote_in(F.col("whole"))),
+    }).drop("whole", "parts")
+    recovered = F.col("_recovered").isNotNull()
+    far = far.withColumns({
+        "_value_here": F.when(recovered, True).otherwise(F.col("_value_here")),
+        "_quote_here": F.col("_quote_here") | (recovered & ~no_quote & F.coalesce(F.col("_recovered")["quoted"], F.lit(False))),
+        "_recovered": F.when(recovered, F.struct(F.col("_recovered")["index"].alias("index"), F.col("_recovered")["page"].alias("page"))),
     })
-    return scored(found)
+    return scored(far.withColumns({
+        "_source": F.coalesce("_cited", "_recovered"),
+        "_quote_somewhere": F.col("_quote_here") | F.coalesce("_quote_far", F.lit(False)),
+    }))
 
 
 def scored(found: DataFrame) -> DataFrame:

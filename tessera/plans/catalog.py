@@ -26,6 +26,8 @@ from tessera.session import materialise, once, remove, scratch_dir
 ATTEMPTS = 3
 #: Answers the cache keeps, and for how long in seconds.
 CACHE_ROWS, CACHE_SECONDS = 500, 6 * 3600
+#: Edits of a table that are merged into one folder when so many have gathered.
+EDITS_MERGED = 16
 #: Blocks of documents in which row ids are counted.
 ID_BLOCKS = 4096
 #: Characters of a document's text that are stored.
@@ -312,7 +314,12 @@ class Catalog:
             text = None if bound is None else str(bound).lower() if isinstance(bound, bool) else str(bound)
             edit = self.spark.createDataFrame([(row_id, sanitized(target.name), text, m.version + 1)], "row_id bigint, column_name string, value string, edit_no bigint")
             edit.coalesce(1).write.mode("overwrite").parquet(path)
-            m.tables.setdefault(f"{main}#edits", []).append(path)
+            paths = [*m.tables.get(f"{main}#edits", []), path]
+            if len(paths) >= EDITS_MERGED:  # the last value of each cell, in one folder
+                last = self.spark.read.parquet(*paths).groupBy("row_id", "column_name").agg(F.max_by("value", "edit_no").alias("value"), F.max("edit_no").alias("edit_no"))
+                last.write.mode("overwrite").parquet(f"{path}-merged")
+                paths = [f"{path}-merged"]
+            m.tables[f"{main}#edits"] = paths
 
         self.update(collection_id, change)
 

@@ -157,6 +157,22 @@ def test_the_switch_of_sides_changes_nothing(spark, monkeypatch):
     assert [r.text for r in chunking.chunk_pages(pages).collect()] == below and [len(x) for x in below] == [1403]
 
 
+def test_edits_are_merged(spark, tmp_path, monkeypatch):
+    from tessera.plans import catalog
+
+    monkeypatch.setattr(catalog, "EDITS_MERGED", 3)
+    cat = Catalog(spark, str(tmp_path))
+    cat.create("e", "E", [Column("A"), Column("B")])
+    cells = spark.createDataFrame([("d", 0, "", n, v, None, None) for n, v in (("A", "a"), ("B", "b"))], "document_id string, row_ordinal int, row_path string, column_name string, value_text string, value_num double, value_bool boolean")
+    cat.append("e", cells)
+    for k in range(4):
+        cat.update_cell("e", 1, "A", f"a{k}")
+    cat.update_cell("e", 1, "B", None)
+    assert len(cat.read("e").tables["data_e#edits"]) == 1
+    row = cat.table("e").first()
+    assert (row.a, row.b) == ("a3", None)
+
+
 def test_mapping(spark):
     body = {"rows": [{"A": {"value": "5", "page": 2, "chunk": "3", "confidence": "HIGH", "raw_source": "five"}, "N": "$1,000", "List": [{"x": 1, "y": 2}]}], "schema": {"columns": [{"name": "A"}, {"name": "N", "type": "number"}, {"name": "List"}, {"name": "Miss"}]}, "knowledge_sections": [{"title": "S", "fields": ["a", "nope", "A"]}, {"title": "T", "fields": ["A"]}]}
     responses = spark.createDataFrame([(1, "d", "c", 1, json.dumps(body)), (2, "d", "c", 1, None), (3, "d", "zz", 1, '{"rows": [{"A": 1}]}')], "response_id bigint, document_id string, collection_id string, schema_version int, response_json string")
