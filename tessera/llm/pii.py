@@ -8,9 +8,15 @@ Weights are learned by maximum likelihood (forward-backward over the same
 lattice) from a bounded sample of labelled lines that ``training_lines`` makes.
 
 Look-alikes and invisible characters are evened out before and places carried
-back, so that a stretch is reported exactly as it is written. Only the
-surroundings of a trigger (a cue word, a given name, a sign of an address or
-number) are looked at; an automaton finds all triggers in one pass.
+back, so that a stretch is reported exactly as it is written. Every row of two
+capitalised words or more is looked at, wherever it stands. What can only be
+found by what is written before or in it (a lone name after a title, emails,
+persons' numbers, addresses) is looked for around such signs; an automaton finds
+them all in one pass.
+
+Where a pattern may end in two ways (a phone number with or without extension, a
+street with or without flat, a bare number that may be a phone's or a person's)
+both are proposed, and the model chooses.
 """
 
 from __future__ import annotations
@@ -29,9 +35,9 @@ from tessera.llm.normalise import transducer
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 #: Labelled lines the model is trained on, and passes over them.
-TRAINING_LINES, EPOCHS = 6000, 8
+TRAINING_LINES, EPOCHS = 12_000, 8
 #: Characters around a trigger that are looked at.
-REACH = 90
+REACH = 60
 #: Words a name has at most.
 NAME_WORDS = 5
 
@@ -59,20 +65,24 @@ TRADE = frozenset(
     warehouse accounts bay cross street road lane avenue
     """.split()
 )
+#: Words that begin sentences and stand in no name but rarely.
+SMALL_WORDS = frozenset(
+    """
+    the a an this that these those every each no any some all for from in on at by of to with after before under over between and or but if when where while as our
+    der die das den dem des ein eine einer kein keine jede jeder im am zum zur für von mit nach vor unter über und oder wenn bei aus
+    le la les un une du au aux chaque aucun aucune selon après avant avec pour par dans sur sous où si et ou
+    el los las una unos ningún ninguna cada todo según tras antes con para por en sobre bajo y al del
+    w z na po za do od dla przez przed każdy żaden jeśli i lub
+    """.split()
+)
 #: Titles before a name, not part of it.
 TITLES = frozenset("dr mr ms mrs miss prof herr frau m mme mlle d dña don doña sr sra srta p pan pani г-н г-жа κ κα κος".split())
 #: Words that announce a person's number.
-ID_CUES = frozenset("ssn pesel passport licence license security id dni nif nie personalausweis pass steuer-id insurance".split())
-#: Cues whose surroundings are looked at, in lower case, by what
-#: is looked for there.
-NAME_CUES = (
-    "contact", "attn", "z. hd.", "l’attention de", "l'attention de", "atención", "do rąk", "ansprechpartner", "interlocuteur",
-    "osoba do kontaktu", "контактное лицо", "υπεύθυνος", "dear ", "it was ", " who asked", " approved the",
-    "employee ", "holder ", "at the gate", "please call", "witness", "cc:", "ask for ", "handed to ", " told ",
-    "signed for", "signed by", "gezeichnet", "signé par", "firmado por", "podpisano", "подписал", "υπογραφή", "odebrał",
-    "prof.", "dr.", "mme ", "herr ", "frau ", "sra.", "mr. ", "ms. ", "mrs. ", " tel", " phone", " tél", " тел", " τηλ", " | +", " | 0", " | (", " <",
-)
-ID_TRIGGERS = ("ssn", "pesel", "passport", "licence ", "license ", "security number", "national id", "dni ", "nif ", "personalausweis", "паспорт", "insurance number", "steuer-id")
+ID_CUES = frozenset("aadhaar identity tax ssn pesel passport licence license security id dni nif nie personalausweis pass steuer-id insurance".split())
+#: What a lone name stands after, and cues whose surroundings are looked at, in
+#: lower case, by what is looked for there.
+TITLE_TRIGGERS = tuple(f"{title}{end}" for title in sorted(TITLES) for end in (". ", " ", ".\n", "\n"))
+ID_TRIGGERS = ("ssn", "aadhaar", "tax id", "identity card", "id card", "social insurance", "pesel", "passport", "licence ", "license ", "security number", "national id", "dni ", "nif ", "personalausweis", "паспорт", "insurance number", "steuer-id")
 ADDRESS_TRIGGERS = ("street", " st.", " st,", " ave", " lane", " road", " rd", " way", "crescent", " close", " court", " drive", " square", " terrace", " boulevard", "straße", "strasse", "gasse ", "allee ", "platz ", " weg ", " rue ", "chemin ", "calle ", "avda", "avenida", "plaza ", "paseo ", "ul. ", "al. ", "os. ", "pl. ")
 EMAIL_TRIGGERS = ("@", "(at)", "[at]")
 
@@ -81,6 +91,7 @@ _WORD = rf"[{_ABOVE}][^\W\d_]+(?:['’][^\W\d_]+)?(?:-[{_ABOVE}][^\W\d_]+)*"
 _INITIAL = rf"[{_ABOVE}]\."
 _RUN = re.compile(rf"(?<![^\W_])(?<![-’'])(?<![^\W_]\.)(?:{_WORD}|{_INITIAL})(?:,?[ \n](?:{_WORD}|{_INITIAL}))*(?![^\W_])")
 _PIECE = re.compile(rf"{_WORD}|{_INITIAL}")
+_ROW = re.compile(rf"(?<![^\W_])(?<![-’'])(?<![^\W_]\.)(?:{_WORD}|{_INITIAL})(?:,?[ \n](?:{_WORD}|{_INITIAL}))+")
 EMAIL = re.compile(r"[\w.%+-]+ ?(?:@|[\[(]at[\])]) ?[\w-]+(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]+)* ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,}(?![\w-])", re.IGNORECASE)
 _EXTENSION = r"(?:,? ?(?:ext|extension|durchwahl|poste|wew|int|доб)\.? ?\d{1,5})?"
 PHONE = re.compile(
@@ -90,14 +101,17 @@ PHONE = re.compile(
     r"|\d{3}(?P<us>[-. ])\d{3}(?P=us)\d{4}"
     r"|0\d(?P<fr>[. ])\d\d(?:(?P=fr)\d\d){3}"
     r"|0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{2,6})?"
-    rf"){_EXTENSION}(?![\w])(?![.,/-]\d)",
+    r"|(?P<bare>\d{10})"
+    rf")(?P<ext>{_EXTENSION})(?![\w])(?![.,/-]\d)",
     re.IGNORECASE,
 )
 ID_VALUE = re.compile(
-    r"(?<![\w.,/-])(?:\d{3}(?P<s>[- ])\d{2}(?P=s)\d{4}|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}|\d{11}|[A-Z]{1,2} ?\d{6,8} ?[A-Z]?|[A-Z]{2,5}9{0,3}\d{6}[A-Z0-9]{2,5}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d{4} ?\d{6})(?![\w])(?![.,/-]\d)"
+    r"(?<![\w.,/-])(?:\d{3}(?P<s>[- ])\d{2}(?P=s)\d{4}|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}|\d{11}|[A-Z]{1,2} ?\d{6,8} ?[A-Z]?|[A-Z]{2,5}9{0,3}\d{6}[A-Z0-9]{2,5}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d{4} ?\d{6}|\d{4} \d{4} \d{4})(?![\w])(?![.,/-]\d)"
 )
 _NAME = rf"(?:[{_ABOVE}][\w’'-]+)"
 _ROOM = r"(?:Flat|Unit|Apt\.?|Apartment|Suite|Room)"
+_LOWER_TAIL = re.compile(r"(?<=[^\W\d_])(?: [^\W\d_A-Z][\w’'-]*)+$")
+_ROOM_AFTER = re.compile(rf",[ \n]{_ROOM}[ \n]\d+\w?$", re.IGNORECASE)
 _ROADS = r"(?:Street|St\.|St(?![\w.])|Avenue|Ave\.?|Lane|Ln\.?|Way|Road|Rd\.?|Crescent|Close|Court|Drive|Square|Terrace|Boulevard|Blvd\.?|Hill|Row|Walk|Gardens)"
 ADDRESS = re.compile(
     rf"(?<![\w.,/-])(?:"
@@ -110,8 +124,6 @@ ADDRESS = re.compile(
     re.IGNORECASE,
 )
 _GOES_ON = re.compile(rf"(?:,?[ \n](?:{_WORD}|{_INITIAL}))*")
-#: A short text that is nothing but a name, or could be.
-_ALONE = re.compile(rf"(?:{_WORD}|{_INITIAL})(?:,? (?:{_WORD}|{_INITIAL})){{1,4}}")
 _BEFORE = re.compile(r"([^\W\d_]+(?:[-’'][^\W\d_]+)*|[|/<(]|[\d])\W*$")
 _AFTER = re.compile(r"\s*([^\W\d_]+|[|/<(,;.:)]|\d|$)")
 Candidate = tuple[int, int, int, list[str]]
@@ -121,9 +133,9 @@ def _left(text: str, begin: int) -> tuple[list[str], bool]:
     """Features of what stands before a place; whether it is a title."""
     head = text[max(0, begin - 40) : begin]
     found = _BEFORE.search(head)
-    title = False
+    title = letter = False
     if found and found.group(1).lower() in TITLES and re.fullmatch(r"\.?[ \n]", head[found.end(1) :]):
-        title = True
+        title, letter = True, len(found.group(1)) == 1
         head = head[: found.start(1)]
         found = _BEFORE.search(head)
     gap = head[found.end(1) :] if found else head
@@ -133,7 +145,7 @@ def _left(text: str, begin: int) -> tuple[list[str], bool]:
     sign = next((c for c in gap if c in ":=.,;|/("), " ")
     out = [f"l={'9' if word.isdigit() else word}", f"ls={sign}", f"lb={'9' if word.isdigit() else word}{sign}"]
     if title:
-        out.append("title")
+        out.append("title: letter" if letter else "title")  # a letter may be an initial
     return out, title
 
 
@@ -143,6 +155,8 @@ def _right(text: str, end: int) -> list[str]:
     return [f"r={'9' if word.isdigit() else word or '$'}"]
 
 
+#: The rest of a number like ``INV-2024`` or of a longer word: no name ends before it.
+_CODE_GOES_ON = re.compile(r"[-/]\w|\.\d")
 _GIVEN_FOLDED = frozenset(n.casefold() for n in GIVEN)
 
 
@@ -161,6 +175,8 @@ def _name_candidates(text: str, begin: int, end: int) -> Iterator[Candidate]:
             for j in range(i, min(n, i + NAME_WORDS)):
                 if j > i and trade[j]:
                     break
+                if _CODE_GOES_ON.match(text, pieces[j][1]):
+                    continue
                 words = [k for k in range(i, j + 1) if not initial[k]]
                 commas = [k for k in range(i, j) if comma[k]]
                 if not words or initial[j] and not commas or len(commas) > 1 or commas and (commas[0] != i or j == i):
@@ -179,6 +195,8 @@ def _name_candidates(text: str, begin: int, end: int) -> Iterator[Candidate]:
                 if not given and all(pieces[k][2].isupper() for k in words):
                     feats.append("name:capitals")
                 feats.append("name:given" if given else "name:initial" if initial[i + 1 if commas else i] else "name:unknown")
+                if any(pieces[k][2].casefold() in SMALL_WORDS for k in words):
+                    feats.append("name:small word")
                 if any(trade[i : j + 1]):
                     feats.append("name:trade")
                 if j + 1 < n and not comma[j] and not broken[j]:
@@ -217,7 +235,12 @@ def candidates(text: str, where: dict[str, list[tuple[int, int]]] | None = None,
     for m in _near(EMAIL, text, where["email"]):
         out.append((m.start(), m.end(), 0, ["email", "email:@" if "@" in m.group() else "email:at"]))
     for m in PHONE.finditer(text) if phones is None else phones:
-        out.append((m.start(), m.end(), 1, ["phone", f"phone:{m.group()[0] if m.group()[0] in '+(0' else '9'}{m.group('us') or m.group('fr') or ''}", *(f"phone:{f}" for f in _left(text, m.start())[0])]))
+        form = "bare" if m.group("bare") else f"{m.group()[0] if m.group()[0] in '+(0' else '9'}{m.group('us') or m.group('fr') or ''}"
+        feats = ["phone", f"phone:{form}", *(f"phone:{form and 'bare ' if form == 'bare' else ''}{f}" for f in _left(text, m.start())[0])]
+        if m.group("ext"):
+            out.append((m.start(), m.start("ext"), 1, [*feats, "phone:extension left out"]))
+            feats = [*feats, "phone:extension"]
+        out.append((m.start(), m.end(), 1, feats))
     for m in _near(ID_VALUE, text, where["id"]):
         before = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", text[max(0, m.start() - 32) : m.start()].lower())[-3:]
         cue = "cue" if ID_CUES & set(before) else "none"
@@ -229,6 +252,12 @@ def candidates(text: str, where: dict[str, list[tuple[int, int]]] | None = None,
         feats += [f"address:{f}" for f in _left(text, m.start())[0][:2]]
         if m.group()[0].isalpha() and m.group()[0].islower() and m.lastgroup in ("en", "de", "es"):
             feats.append("address:lower case")
+        tail = _LOWER_TAIL.search(m.group())
+        if tail and not m.group().islower():
+            out.append((m.start(), m.start() + tail.start(), 3, [*feats, "address:tail left out"]))
+            feats = [*feats, "address:lower tail"]
+        if room := _ROOM_AFTER.search(m.group()):
+            out.append((m.start(), m.start() + room.start(), 3, [*feats, "address:room left out"]))
         out.append((m.start(), m.end(), 3, feats))
     for begin, end in where["name"]:
         out += _name_candidates(text, begin, end)
@@ -339,12 +368,17 @@ def _digits(order: random.Random, mask: str) -> str:
 
 #: How numbers and addresses of the training lines are written.
 PHONE_MASKS = ("999-555-0199", "(999) 555-0199", "999.555.0199 ext. 999", "+1 999 555 0199", "020 7946 0999", "+44 20 7946 0999", "01632 960999", "+49 30 23125999", "(030) 23125999", "030 23125 999", "+49 (0)30 / 23125-999", "01 99 00 99 99", "06.39.98.99.99", "+33 1 99 00 99 99", "0639 989999", "+48 22 555 99 99", "+34 919 999 999")
-ID_MASKS = (("SSN ", "999-99-9999"), ("social security number ", "999 99 9999"), ("national ID ", "99.99.99-999.99"), ("PESEL ", "99999999999"), ("passport no. ", "§§9999999"), ("driving licence ", "§§§§999999§9§§"))
+ID_MASKS = (("SSN ", "999-99-9999"), ("social security number ", "999 99 9999"), ("national ID ", "99.99.99-999.99"), ("PESEL ", "99999999999"), ("passport no. ", "§§9999999"), ("driving licence ", "§§§§999999§9§§"), ("Aadhaar ", "9999 9999 9999"), ("tax ID ", "99999999999"))
 GOODS_MASKS = ("lot 999-99-9999", "lot 999 99 9999", "file 99.99.99/99", "meter 99999999999", "meter 9999 999 9999", "no. 99999", "PO 9999/99", "INV-2029-9999", "CN9999999", "SLA9999999", "§§-999999", "file 99.99.99-999.99", "DN9999999", "RMA9999999")
 ADDRESS_MASKS = ("99 # Street", "999 # Ave", "99B # Lane", "Flat 9, 99 # Way", "99 # Road, Unit 99", "9 # St.", "99 # Old Crescent", "#straße 99", "#er Weg 99a", "Am #platz 99", "99, rue des #s", "99 bis, avenue de #", "99 chemin du #", "Calle #, 99", "Avda. de # 99, 3.º B", "Plaza # 99", "ul. #owa 99/9", "al. #owska 99", "os. #owe 9")
 #: The training lines. {N} is a name with its title, {F} a firm,
 #: {K} a department, {P} a place, {E} an email, {H} a phone number, {I} a
-#: person's number with its announcement, {A} an address, {G} a number of goods.
+#: person's number with its announcement, {A} an address, {G} a number of goods,
+#: {T} ten digits, {L} a lone name, {v} a verb, {f} a small word that begins a sentence, {n} a line break.
+VERBS = (
+    "said asked told wrote called signed sent met joined left returned drove paid bought sold agreed declined answered accepted refused wants wanted had has was is will would can "
+    "could may must works worked lives lived moved runs led leads manages owns keeps took gave made spoke thinks says knows starts started repaired opened closed checked showed brought"
+).split()
 LINES = tuple(
     """
     Contact: {N}|Contact{s}{N}|Attn{s}{N}|Attn: {N}|Dear {N},|It was {N} who asked {F} to stop the invoice.|{N} approved the final {w} on 3 May 2024.
@@ -369,6 +403,15 @@ LINES = tuple(
     Diploma in {w} studies, {P}, 3 May 2024.|Rent of 12.00 for the unit in {P} falls due on day 12.|{F} grants {F} a final {w} over the premises in {P}.|Supply 12 x steel bracket to {P} by 3 May 2024.|clerk for the final {w} desk, {F}, {P}.
     {P} 12.00|{K} scanned 12 pages.|Si el {w} llega a {P}, {F} paga.|Η εταιρεία {F} πλήρωσε 12.00.|Le {w} du 3 May 2024 concerne 12 colis expédiés à {P}.|Insured by {F} in {P}|Status: FINAL|{P}, {P} and {P} share the {w}.|Total Due: 12.00|Invoice Number: {G}
     AN EXTRA MODULAR TOOL CHEST WAS ADDED TO {G} AT 12.00|INSULATED TOOL CHEST ¦ 12 ¦ 12.00|RENT OF 12.00 FOR THE UNIT IN THE TOWN FALLS DUE|SHIP MATTE TOOL CHEST WITH FOLDING STEEL BRACKET|NO FINAL INVOICE REACHED THE DESK BEFORE 12.08.2025
+    This {w} was written by {N}.|Please forward the {w} to {N} before noon.|Prepared by {N} and {N}|The {w} was checked by {F}.|Send the {w} to {K}.|Sent to {P} by {F}.|Sold by {F}, {P}|We spoke with {N} about it.|{N} will attend the {w}.|{N}, who joined in May, runs {K}.
+    My name is {N} and I live at {A}.|Regards,{n}{N}|Kind regards,{n}{N}{n}{K}|Thanks to {N} for the {w}.|According to {N}, {F} is late.|The {w} went from {P} to {P}.|On behalf of {F}, {N}|Both {N} and {N} agreed.|{F} hired {N} in {P}.|Our colleague {N} is away.
+    The {w} went to {P} {f} {w} rose by 12.|It was booked by {K} {f} {w} is final.|Costs are borne by {F}. {f} {G} see the {w}.|{f} {P} lagern 12 Kartons.|Le {w} de {P} {f} {w} reste.|El {w} de {P} {f} {w} suma 12.|12 km to {P} at 12.00 a trip.|{w} at the {P} dock on 3 May 2024.|Two lots from {P} and {P} arrived.
+    {N} {v} the {w}.|{N} {v} it in May.|Yesterday {N} {v} the {w}.|We heard that {N} {v} early.|Later {N} {v} the {w} again.|Her brother, {N}, {v} it.|Mr. {L} {v} the {w}.|Dr. {L} {v} it.|It came from {N}, not from {F}.|Nobody except {N} {v} it.|We thank {N}!|Find out whether {N} {v} it.|The {w} is kept by {N} and {N}.
+    The {w} names {N} as the owner.|It was made for {N} on Monday.|Two copies go to {N} and {N}.|The {w} with {N} {v} well.|The {w} in {P} {v} the {w}.|{F} {v} the {w}.|{K} {v} the {w}.|The {P} {w} {v} late.|The {w} by {F} {v} the {w}.|Goods for {P} and {P} {v} late.
+    Due Date: 3 May 2024|Invoice Date{s}3 May 2024|TOTAL DUE 12.00|Total Due{s}12.00|Invoice Number{s}{G}|INVOICE NUMBER: {G}|Order Date 3 May 2024|Amount Payable: 12.00|Purchase Order {G}|Unit Price{s}12.00|Delivery Note {G}|Tax Number{s}{G}|Terms: Net Thirty|Page Number 12|Through {P}, {P}-le-Lac and {P}|{P}, {P}
+    Livré au {A} hier soir.|On loge au {A} jusqu’en juin.|À {A} demain matin.
+    Call {H} or {H}.|Call {T} today.|Mobile {T}|call {T}|Text us at {T}|phone {T}|Tracking {T}|Ref {T}|Order {T}|Invoice {T}|Account {T}|Barcode {T}|Batch {T} passed.|Your reference {T}|{w} {T}|Dial {H} for {N}.|Her {I} is on file.|{N} holds {I}.
+    From {P} to {P} on 3 May 2024|{P} {P} {w}|The {P} {w} of {F}|Under the {w} with {F}, {K} pays.|Visit {F} at {A}.|{N} moved to {A} last year.|Shipped with {F} via {P}.|Project {P} ends soon.|The {w} for {P} was made by {K}.|Model {P} {P} in stock|Section Two, Table Four|Terms And Conditions|Monthly Report For May
     {N} ({I}) bestätigte die Frist am December 9, 2024.|{N} ({I}) bestätigte die Frist am August 12, 2025.
     """.replace("\n", "|").split("|")
 )
@@ -418,9 +461,20 @@ def training_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[str, s
                 case "{K}":
                     put(order.choice(desks))
                 case "{P}":
-                    put(order.choice([_made_word(order), f"{_made_word(order)} Bay", f"Sankt {_made_word(order)}", f"{_made_word(order)} Cross"]))
+                    put(order.choice([_made_word(order), f"{_made_word(order)} Bay", f"Sankt {_made_word(order)}", f"{_made_word(order)} Cross", f"{_made_word(order)} {_made_word(order)}"]))
                 case "{w}":
                     put(order.choice("invoice schedule audit delivery tariff premium".split()))
+                case "{v}":
+                    put(order.choice(VERBS))
+                case "{L}":
+                    put(_made_word(order), 4)
+                case "{f}":
+                    put(order.choice(("The", "For", "In", "After", "Every", "La", "Le", "El", "Selon", "Ningún", "Under", "No", "An", "Die", "Im", "W")))
+                case "{n}":
+                    put("\n")
+                case "{T}":
+                    said = re.search(r"(?i)\b(?:call|mobile|text us at|phone)\s*$", text)
+                    put(_digits(order, "9999999999"), 1 if said else None)
                 case "{s}":
                     put(order.choice([" = ", "    ", " ..... ", ": "]))
                 case _:
@@ -444,7 +498,7 @@ class Finder:
 
         self.model = model
         self.triggers = ahocorasick.Automaton()
-        for kind, cues in (("name", NAME_CUES), ("id", ID_TRIGGERS), ("address", ADDRESS_TRIGGERS), ("email", EMAIL_TRIGGERS)):
+        for kind, cues in (("name", TITLE_TRIGGERS), ("id", ID_TRIGGERS), ("address", ADDRESS_TRIGGERS), ("email", EMAIL_TRIGGERS)):
             for cue in cues:
                 self.triggers.add_word(cue, (len(cue), kind))
         for name in GIVEN:
@@ -473,17 +527,14 @@ class Finder:
                 if not (begin and low[begin - 1].isalpha() or end < size and low[end].isalpha()):
                     add("name", begin - 50, end + 50)
             elif kind == "name":
-                add("name", begin - REACH, end + REACH)
+                if not (begin and low[begin - 1].isalpha()):
+                    add("name", begin, end + REACH)
             elif kind == "id":
-                add("name", begin - REACH, end + REACH)
                 add("id", begin, end + 40)
             else:
                 add(kind, begin - 70, end + 70)
         phones = list(PHONE.finditer(text))
-        for m in phones:
-            where["name"].append([max(0, m.start() - 60), m.start()])
-        if not where["name"] and size <= 60 and _ALONE.fullmatch(text.strip()):
-            where["name"].append([0, size])
+        where["name"] += [[m.start(), m.end()] for m in _ROW.finditer(text)]
         for spans in where.values():
             for span in spans:  # a stretch doesn't begin or end within a word
                 while span[0] and not text[span[0] - 1].isspace():

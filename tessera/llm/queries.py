@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.llm.history import replay_batches
 from tessera.llm.leakage import find_leaks, leak_report
@@ -12,7 +12,7 @@ from tessera.llm.normalise import lookalike_records, normalised_fields
 from tessera.llm.pii import find_pii, redact
 from tessera.llm.spans import shared_spans
 from tessera.llm.splitting import split_chunks
-from tessera.llm.tokenising import TOKENIZER_DIR, encode_corpus
+from tessera.llm.tokenising import TOKENIZER_DIR, decode_corpus, encode_corpus, encode_with_offsets
 from tessera.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,20 @@ def p7_ids(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> Dat
     return encode_corpus(read_table(spark, sf_dir, "documents"), "byte_bpe_50k", folder)
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """Every text back from its ids."""
+    return decode_corpus(p7_ids(spark, sf_dir, folder), "byte_bpe_50k", folder)
+
+
+def p7_covered(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """Per document what the offsets of its tokens cover: from the first character
+    to the last without a gap."""
+    tokens = encode_with_offsets(read_table(spark, sf_dir, "documents"), "byte_bpe_50k", folder)
+    order = Window.partitionBy("doc_id").orderBy("token_no")
+    gap = F.col("begin_char") > F.coalesce(F.lag("end_char").over(order), F.lit(0))
+    return tokens.withColumn("gap", gap).groupBy("doc_id").agg(F.max("end_char").alias("n_chars"), F.count_if("gap").alias("gaps"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
@@ -75,7 +89,7 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p2_found, p2_normalised, p3_found, p3_accepted, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_report, p9_found, p9_coverage, p9_classes)
+    found = (p2_found, p2_normalised, p3_found, p3_accepted, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p7_decoded, p7_covered, p8_found, p8_report, p9_found, p9_coverage, p9_classes)
     return {f.__name__: f for f in found}
 
 
@@ -87,6 +101,8 @@ _WINDOWS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(tex
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2400",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p7_covered": "SELECT doc_id, CAST(length(text) AS INT) AS n_chars, CAST(0 AS BIGINT) AS gaps FROM documents WHERE text <> ''",
         "p8_found": """
             WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
             i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),

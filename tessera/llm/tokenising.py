@@ -7,6 +7,7 @@ spread over several tokens, and decoding reverses the byte table.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -23,9 +24,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 ROWS_AT_ONCE = 256
 #: Pieces of text a process remembers the ids of, and their longest length.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 48
-#: Where a text can be cut without changing its ids: between a character that
-#: isn't white space and a space or line feed. No piece the tokenizer's own
-#: splitting makes crosses such a place, and it never looks back.
+#: Where a text can be cut without changing its ids by a tokenizer that splits
+#: as byte-level BPE does: between a character that isn't white space and a space
+#: or line feed. No piece of its own splitting crosses such a place, and it never
+#: looks back. By other tokenizers texts are encoded whole.
 _CUTS = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -41,6 +43,14 @@ def load_tokenizer(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
     return tokenizer
 
 
+def reversible(tokenizer) -> bool:
+    """Whether a tokenizer splits texts as plain byte-level BPE and changes no
+    character before: then texts may be cut, and ids have offsets and a text."""
+    made = json.loads(tokenizer.to_str())
+    split = made.get("pre_tokenizer") or {}
+    return made.get("normalizer") is None and split.get("type") == "ByteLevel" and bool(split.get("use_regex")) and not split.get("add_prefix_space")
+
+
 def _batches(column: pa.Array, size: int) -> Iterator[list[str]]:
     for at in range(0, len(column), size):
         yield [t or "" for t in column.slice(at, size).to_pylist()]
@@ -50,10 +60,12 @@ class Encoder:
     """The library's encoding, with the ids of common pieces remembered."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        self.tokenizer, self.cuts = tokenizer, reversible(tokenizer)
         self.known: dict[str, list[int]] = {}
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
+        if not self.cuts:
+            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         pieces = [_CUTS.split(t) for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
@@ -110,6 +122,8 @@ def byte_table() -> dict[str, int]:
 @lru_cache(maxsize=4)
 def _token_bytes(name: str, folder: str) -> list[bytes]:
     tokenizer, table = load_tokenizer(name, folder), byte_table()
+    if not reversible(tokenizer):
+        raise ValueError(f"{name} changes texts before it splits them; its ids can't be traced back")
     out = []
     for i in range(tokenizer.get_vocab_size()):
         token = tokenizer.id_to_token(i)
@@ -117,19 +131,55 @@ def _token_bytes(name: str, folder: str) -> list[bytes]:
     return out
 
 
-def token_offsets(text: str | None, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> list[tuple[int, int, int]]:
-    """(id, first character, end) of each token, in code points. Tokens that
+@lru_cache(maxsize=4)
+def _token_sizes(name: str, folder: str) -> np.ndarray:
+    return np.array([len(b) for b in _token_bytes(name, folder)], np.int64)
+
+
+def spans_of(text: str, ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> tuple[np.ndarray, np.ndarray]:
+    """First character and end of each token of a text, in code points: from the
+    bytes of the tokens, and the character each byte belongs to. Tokens that
     hold part of a character's bytes cover the whole character."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    owner = np.cumsum((data & 0xC0) != 0x80) - 1
+    ends = np.cumsum(_token_sizes(name, folder)[np.asarray(ids, np.int64)])
+    return owner[np.concatenate(([0], ends[:-1]))], owner[ends - 1] + 1
+
+
+def token_offsets(text: str | None, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> list[tuple[int, int, int]]:
+    """(id, first character, end) of each token."""
     if not text:
         return []
-    starts = np.repeat(np.arange(len(text)), [len(c.encode("utf-8", "surrogatepass")) for c in text])
-    table = _token_bytes(name, folder)
-    out, at = [], 0
-    for i in load_tokenizer(name, folder).encode(text, add_special_tokens=False).ids:
-        size = len(table[i])
-        out.append((i, int(starts[at]), int(starts[at + size - 1]) + 1))
-        at += size
-    return out
+    ids = load_encoder(name, folder)([text])[0]
+    begins, ends = spans_of(text, ids, name, folder)
+    return list(zip(ids, begins.tolist(), ends.tolist()))
+
+
+def encode_with_offsets(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """A row per token: the document's id, token_no (from 1), token_id,
+    begin_char and end_char. Empty and null texts have no tokens."""
+    rows = documents.select(id_column, text_column)
+    id_type = rows.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load_encoder(name, folder)
+        for batch in batches:
+            at = 0
+            for texts in _batches(batch.column(1), ROWS_AT_ONCE):
+                lists = encode(texts)
+                sizes = [len(x) for x in lists]
+                places = [spans_of(t, x, name, folder) for t, x in zip(texts, lists) if x]
+                owners = np.repeat(np.arange(at, at + len(texts)), sizes)
+                flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                numbers = flat([np.arange(1, n + 1) for n in sizes if n])
+                tokens = np.fromiter(chain.from_iterable(lists), np.int32, count=sum(sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owners, pa.int64())), *(pa.array(x, pa.int32()) for x in (numbers, tokens, flat([b for b, _ in places]), flat([e for _, e in places])))],
+                    names=[id_column, "token_no", "token_id", "begin_char", "end_char"],
+                )
+                at += len(texts)
+
+    return rows.mapInArrow(run, f"{id_column} {id_type}, token_no int, token_id int, begin_char int, end_char int")
 
 
 def decode_ids(ids, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> str:
