@@ -64,14 +64,16 @@ def phrase_in(phrase: Column, hay: Column, hay_words: Column) -> Column:
     def covered(span: Column) -> Column:
         return F.forall(F.array_distinct(needle), lambda w: _count(span, w) >= _count(needle, w))
 
+    # a window that holds the phrase holds it from its first word of it on
     width = n * WINDOW_SLACK
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hay_words) - width + 1))
+    starts = F.array_compact(F.transform(hay_words, lambda w, at: F.when(F.array_contains(needle, w), at + 1)))
     near = F.exists(starts, lambda at: covered(F.slice(hay_words, at, width)))
+    no_repeats = F.size(F.array_distinct(needle)) == n
     return (
         F.when(hay.contains(phrase), True)
         .when(n < 2, False)
         .when(F.size(F.array_except(needle, hay_words)) > 0, False)
-        .when(n >= LONG_PHRASE, covered(hay_words))
+        .when(n >= LONG_PHRASE, no_repeats | covered(hay_words))
         .otherwise(near)
     )
 

@@ -72,6 +72,7 @@ class Collection:
     def parent_label(self) -> str | None:
         """The column that names a parent row: a person's, else a firm's, else a
         text, else an identifier; a description last."""
+        # Roles by how well they name a row.
         ranks = {"person_name": 0, "company": 1, "organization": 1, "identifier": 3, "email": 3, "description": 100}
 
         def rank(c: model.Column) -> int:

@@ -132,6 +132,7 @@ def _parsed(spark: SparkSession, text: str):
 def check_sql(spark: SparkSession, sql: str, allowed: set[str], columns: set[str] = frozenset()) -> str:
     """The statement without a closing semicolon; raises what is wrong with it.
     ``columns`` are the tables' columns, which may be called like the session's user."""
+    # The wording of what is turned away, here and in the walk.
     text = sql.strip()
     if not text.upper().startswith(("SELECT", "WITH")):
         raise QueryError("Only SELECT queries are allowed")

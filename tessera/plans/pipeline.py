@@ -32,6 +32,8 @@ def answer_request(collection: Collection, request: FilterRequest) -> Answer:
     after paging, and the total is less by as many."""
     page, every, entity = filters.filter_page(collection, request)
     projected = answer.project_cells(page)
+    # a page has a thousand rows at most: it is computed once
+    projected = projected.sparkSession.createDataFrame(projected.collect(), projected.schema)
     cover = answer.coverage(projected, request.exclude_low).first().asDict()
     shown = answer.exclude_low(projected) if request.exclude_low else projected
     total = max(0, every.count() - (cover["excluded_rows"] if request.exclude_low else 0))
